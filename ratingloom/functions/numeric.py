@@ -39,6 +39,6 @@ def whole_days(seconds: Column) -> Column:
 
 
 def shown(col: Column | str, digits: int = 6) -> Column:
-    """Rounded for output; first to 9 digits, so the last bits cannot decide a half-way case."""
+    """Rounded for output; the nudge keeps a sum's last bits from deciding an exact half-way case."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.round(F.round(col, SCORE_DIGITS), digits)
+    return F.round(col + F.lit(1e-10), digits)

@@ -184,4 +184,4 @@ def top_per_group(rows: DataFrame, key: str | list[str], order: list, n: int, ra
     """First ``n`` rows per key; the rank filter lets Spark cut each group before the shuffle."""
     keys = [key] if isinstance(key, str) else key
     return (rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-            .filter(F.col(rank) <= n))
+            .filter(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("bigint")))

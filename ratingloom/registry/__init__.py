@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_FAMILIES = ("rows",)
+_FAMILIES = ("rows", "collab")
 
 
 def _collect(what: str) -> dict:

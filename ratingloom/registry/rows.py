@@ -176,23 +176,23 @@ SELECT DISTINCT item_id, dense_rank() OVER (ORDER BY item_id) - 1 AS idx FROM in
     "encode_first_seen": f"""WITH {INTER},
 firsts AS (SELECT user_id, min(row(ts, row_key)) AS f FROM inter GROUP BY 1)
 SELECT user_id, row_number() OVER (ORDER BY f) - 1 AS idx FROM firsts""",
-    "time_decay": f"WITH {WEIGHTED} SELECT row_key, round(round(w, 9), 6) AS decay FROM weighted",
-    "ui_matrix": f"WITH {WEIGHTED} SELECT user_id, item_id, round(round(w, 9), 6) AS w, n FROM cells",
+    "time_decay": f"WITH {WEIGHTED} SELECT row_key, round(w + 1e-10, 6) AS decay FROM weighted",
+    "ui_matrix": f"WITH {WEIGHTED} SELECT user_id, item_id, round(w + 1e-10, 6) AS w, n FROM cells",
     "ui_density": f"""WITH {WEIGHTED}
 SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(*) AS nnz,
-       round(round(count(*) / (CAST(count(DISTINCT user_id) AS DOUBLE) * count(DISTINCT item_id)), 9), 6) AS density FROM cells""",
+       round(count(*) / (CAST(count(DISTINCT user_id) AS DOUBLE) * count(DISTINCT item_id)) + 1e-10, 6) AS density FROM cells""",
     "item_idf": f"""WITH {WEIGHTED}
 SELECT item_id, count(DISTINCT user_id) AS n_holders,
        round(ln(CAST((SELECT count(DISTINCT user_id) FROM cells) AS DOUBLE) / (1 + count(DISTINCT user_id))), 6) AS idf
 FROM cells WHERE w > 0 GROUP BY 1""",
     "user_profiles": f"""WITH {INTER}
 SELECT user_id, count(*) AS n_rows, count(DISTINCT item_id) AS n_items, min(ts) AS first_ts, max(ts) AS last_ts,
-       round(round(avg(rating), 9), 6) AS avg_rating FROM inter GROUP BY 1""",
-    "helpfulness": f"WITH {EXPERT} SELECT row_key, round(round(helpfulness, 9), 6) AS helpfulness FROM expert",
-    "user_expertise": f"WITH {EXPERT} SELECT row_key, round(round(user_expertise, 9), 6) AS user_expertise FROM expert",
-    "hybrid_weight": f"WITH {EXPERT} SELECT row_key, round(round({SIGNAL}, 9), 6) AS w FROM expert",
+       round(avg(rating) + 1e-10, 6) AS avg_rating FROM inter GROUP BY 1""",
+    "helpfulness": f"WITH {EXPERT} SELECT row_key, round(helpfulness + 1e-10, 6) AS helpfulness FROM expert",
+    "user_expertise": f"WITH {EXPERT} SELECT row_key, round(user_expertise + 1e-10, 6) AS user_expertise FROM expert",
+    "hybrid_weight": f"WITH {EXPERT} SELECT row_key, round({SIGNAL} + 1e-10, 6) AS w FROM expert",
     "hybrid_matrix": f"""WITH {EXPERT},
 sig AS (SELECT user_id, item_id, {SIGNAL} AS w FROM expert),
 cell AS (SELECT user_id, item_id, sum(w) AS w FROM sig GROUP BY 1, 2)
-SELECT user_id, item_id, round(round(w / sum(w) OVER (PARTITION BY user_id), 9), 6) AS w FROM cell""",
+SELECT user_id, item_id, round(w / sum(w) OVER (PARTITION BY user_id) + 1e-10, 6) AS w FROM cell""",
 }
