@@ -45,19 +45,19 @@ class ItemModel:
 
 
 def fit(df: DataFrame, settings: Settings = Settings(), ts: str | None = "ts",
-        rating: str | None = "rating", minimum_rows: int = 50, pairs: DataFrame | None = None) -> ItemModel:
+        rating: str | None = "rating", minimum_rows: int = 50, sim: DataFrame | None = None) -> ItemModel:
     """Clean, weight, and learn neighbours and popularity from interactions (user_id, item_id, ..).
 
-    ``pairs`` takes ready similarity neighbours so that several settings can share one pair pass.
+    ``sim`` takes ready neighbours, so that several settings can share one pair pass.
     """
     df = require_rows(adaptive_core(df, settings.min_interactions), minimum_rows)
     users, items = heavy_keys(df, "user_id"), heavy_keys(df, "item_id")
     decay = settings.time_decay_factor if ts else None
     cells = user_item_cells(interaction_weight(df, settings.implicit_feedback, decay, rating, ts or "ts"))
     idf = item_idf(cells) if settings.use_idf_weighting else None
-    sim = pairs if pairs is not None else item_neighbors(
-        cells, settings.similarity_method, settings.k, settings.min_similarity, idf,
-        heavy_users=users, heavy_items=items)
+    if sim is None:
+        sim = item_neighbors(cells, settings.similarity_method, settings.k, settings.min_similarity, idf,
+                             heavy_users=users, heavy_items=items)
     popularity = item_popularity(df, decay)
     return ItemModel(settings, sim, cells, popularity, popular_items(popularity), items)
 
@@ -140,27 +140,46 @@ def penalised(candidates: DataFrame, popularity: DataFrame, popularity_weight: f
     return joined.select("user_id", "item_id", score(base * penalty).alias("score"))
 
 
-def recommend(model: ItemModel, rows: DataFrame, top_n: int = 10, diversity: float = 0.2,
-              users: DataFrame | None = None) -> DataFrame:
-    """(user_id, item_id, score, rank): top_n per user with a history in ``rows``.
+@dataclass(frozen=True)
+class Candidates:
+    """History cells and scored candidates of all users, independent of top_n."""
 
-    Users without any scored candidate, and users of ``users`` without history, get popular items.
-    """
-    s = model.settings
-    history = durable(history_cells(rows, s.time_decay_factor))
+    history: DataFrame
+    found: DataFrame
+
+
+def prepare(model: ItemModel, rows: DataFrame, keep: bool = False) -> Candidates:
+    """Candidates for the users in ``rows``; ``keep`` writes them once for several top_n values."""
+    history = durable(history_cells(rows, model.settings.time_decay_factor))
     found = scored_candidates(history, model.sim, model.heavy_items)
+    return Candidates(history, durable(found) if keep else found)
+
+
+def finish(model: ItemModel, candidates: Candidates, top_n: int = 10, diversity: float = 0.2,
+           users: DataFrame | None = None) -> DataFrame:
+    """(user_id, item_id, score, rank) from prepared candidates."""
+    history = candidates.history
     # both columns stay in every use of found, so Spark reuses one aggregation instead of three
-    found = found.filter(F.col("score").isNotNull() & (F.col("closeness") >= 0))
+    found = candidates.found.filter(F.col("score").isNotNull() & (F.col("closeness") >= 0))
     extra = cooccurrence_backfill(history, model.cells, found, top_n).withColumn("closeness", F.lit(0.0))
-    final = penalised(found.unionByName(extra), model.popularity, s.popularity_weight, diversity)
+    final = penalised(found.unionByName(extra), model.popularity, model.settings.popularity_weight, diversity)
     best = top_per_group(final, "user_id", [F.desc("score"), F.asc("item_id")], top_n)
     everyone = history.select("user_id").distinct()
     if users is not None:
         everyone = everyone.unionByName(users.select("user_id")).distinct()
-    without = everyone.join(best.filter("rank = 1").select("user_id"), "user_id", "left_anti")
+    without = everyone.join(best.select("user_id").distinct(), "user_id", "left_anti")
     return best.unionByName(popular_for(without, history, model.popular, top_n))
 
 
+def recommend(model: ItemModel, rows: DataFrame, top_n: int = 10, diversity: float = 0.2,
+              users: DataFrame | None = None) -> DataFrame:
+    """(user_id, item_id, score, rank): top_n per user with a history in ``rows``.
+
+    Users without any scored candidate, and users of ``users`` without history, get popular items.
+    """
+    return finish(model, prepare(model, rows), top_n, diversity, users)
+
+
 def blend(parts: list[tuple[DataFrame, float]], top_n: int = 10) -> DataFrame:
     """Weighted sum of scored lists, top_n per user. Each part is (recommendations, weight)."""
     scaled = [p.select("user_id", "item_id", (F.col("score") * F.lit(float(w))).alias("score")) for p, w in parts]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_FAMILIES = ("rows", "collab")
+_FAMILIES = ("rows", "collab", "evaluation")
 
 
 def _collect(what: str) -> dict:

@@ -80,49 +80,58 @@ def candidates_sql(tag: str) -> str:
   GROUP BY 1, 2)"""
 
 
-def backfill_sql(tag: str, top_n: int) -> str:
-    return f"""short_{tag} AS (
+def backfill_sql(tag: str, top_n: int, out: str | None = None) -> str:
+    out = out or tag
+    return f"""short_{out} AS (
   SELECT h.user_id, h.item_id, h.pos FROM hrows_{tag} h
   WHERE h.pos > h.n - 5
     AND (SELECT count(*) FROM cand_{tag} c WHERE c.user_id = h.user_id) < {2 * top_n}),
-cooc_{tag} AS (
+cooc_{out} AS (
   SELECT i, j, cooc FROM pairs_{tag}
   UNION ALL SELECT item_id, item_id, CAST(sum(n * (n - 1)) AS DOUBLE) FROM cells_{tag} GROUP BY 1 HAVING sum(n * (n - 1)) > 0),
-cotop_{tag} AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY cooc DESC, j) AS r FROM cooc_{tag}
-  WHERE i IN (SELECT item_id FROM short_{tag}) QUALIFY r <= 20),
-extra_{tag} AS (
+cotop_{out} AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY cooc DESC, j) AS r FROM cooc_{out}
+  WHERE i IN (SELECT item_id FROM short_{out}) QUALIFY r <= 20),
+extra_{out} AS (
   SELECT s.user_id, t.j AS item_id, arg_min(t.cooc, s.pos) / 100.0 AS score
-  FROM short_{tag} s JOIN cotop_{tag} t ON t.i = s.item_id
+  FROM short_{out} s JOIN cotop_{out} t ON t.i = s.item_id
   WHERE NOT EXISTS (SELECT 1 FROM hist_{tag} x WHERE x.user_id = s.user_id AND x.item_id = t.j)
     AND NOT EXISTS (SELECT 1 FROM cand_{tag} c WHERE c.user_id = s.user_id AND c.item_id = t.j)
   GROUP BY 1, 2)"""
 
 
-def fallback_sql(tag: str, top_n: int, without: str) -> str:
-    """CTE fall_<tag>: popular items for the users of CTE ``without``."""
-    return f"""fall_{tag} AS (
+def fallback_sql(tag: str, top_n: int, without: str, out: str | None = None) -> str:
+    """CTE fall_<out>: popular items for the users of CTE ``without``."""
+    return f"""fall_{out or tag} AS (
   SELECT user_id, item_id, score, rk AS rank FROM (
-  SELECT u.user_id, p.item_id, p.pop AS score, row_number() OVER (PARTITION BY u.user_id ORDER BY p.rank) AS rk
-  FROM {without} u, popular_{tag} p
-  WHERE p.rank <= {2 * top_n}
-    AND NOT EXISTS (SELECT 1 FROM hist_{tag} x WHERE x.user_id = u.user_id AND x.item_id = p.item_id)
-  ) WHERE rk <= {top_n})"""
+    SELECT u.user_id, p.item_id, p.pop AS score, row_number() OVER (PARTITION BY u.user_id ORDER BY p.rank) AS rk
+    FROM {without} u, popular_{tag} p
+    WHERE p.rank <= {2 * top_n}
+      AND NOT EXISTS (SELECT 1 FROM hist_{tag} x WHERE x.user_id = u.user_id AND x.item_id = p.item_id))
+  WHERE rk <= {top_n})"""
 
 
-def recommend_sql(tag: str, src: str, decay=0.95, top_n=10, popularity_weight=0.2, diversity=0.2,
-                  users: str | None = None) -> str:
-    """CTE recs_<tag>(user_id, item_id, score, rank) after model_sql of the same tag."""
+def finish_sql(tag: str, top_n=10, popularity_weight=0.2, diversity=0.2, users: str | None = None,
+               out: str | None = None) -> str:
+    """CTE recs_<out>(user_id, item_id, score, rank) from hist_/cand_ of ``tag``."""
+    out = out or tag
     everyone = f"SELECT DISTINCT user_id FROM hist_{tag}" + (f" UNION SELECT user_id FROM {users}" if users else "")
     return ",\n".join([
-        history_sql(tag, src, decay), candidates_sql(tag), backfill_sql(tag, top_n),
-        f"""final_{tag} AS (
+        backfill_sql(tag, top_n, out),
+        f"""final_{out} AS (
   SELECT user_id, item_id, round((score + coalesce(pop, 0) * CAST({popularity_weight} AS DOUBLE))
          * (1 - CAST({diversity} AS DOUBLE) * closeness), 9) AS score
   FROM (SELECT user_id, item_id, score, closeness FROM cand_{tag}
-        UNION ALL SELECT user_id, item_id, score, 0 FROM extra_{tag}) LEFT JOIN pop_{tag} USING (item_id)),
-best_{tag} AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM final_{tag}
+        UNION ALL SELECT user_id, item_id, score, 0 FROM extra_{out}) LEFT JOIN pop_{tag} USING (item_id)),
+best_{out} AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM final_{out}
   QUALIFY rank <= {top_n}),
-without_{tag} AS (SELECT user_id FROM ({everyone}) WHERE user_id NOT IN (SELECT user_id FROM final_{tag}))""",
-        fallback_sql(tag, top_n, f"without_{tag}"),
-        f"recs_{tag} AS (SELECT * FROM best_{tag} UNION ALL SELECT * FROM fall_{tag})",
+without_{out} AS (SELECT user_id FROM ({everyone}) WHERE user_id NOT IN (SELECT user_id FROM final_{out}))""",
+        fallback_sql(tag, top_n, f"without_{out}", out),
+        f"recs_{out} AS (SELECT * FROM best_{out} UNION ALL SELECT * FROM fall_{out})",
     ])
+
+
+def recommend_sql(tag: str, src: str, decay=0.95, top_n=10, popularity_weight=0.2, diversity=0.2,
+                  users: str | None = None) -> str:
+    """CTE recs_<tag> after model_sql of the same tag."""
+    return ",\n".join([history_sql(tag, src, decay), candidates_sql(tag),
+                       finish_sql(tag, top_n, popularity_weight, diversity, users)])
