@@ -130,6 +130,25 @@ def number_in_group(rows: DataFrame, key: str, order: list[str], pos: str = "pos
     return out.drop("_slice", "_rn", "_cnt", "_before", "_total")
 
 
+def running_sum(rows: DataFrame, key: str, order: list[str], value: str, name: str,
+                heavy: list | None = None) -> DataFrame:
+    """Add the running sum of ``value`` (bigint) within the group, sliced like number_in_group."""
+    heavy = heavy_keys(rows, key) if heavy is None else heavy
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    if not heavy:
+        return rows.withColumn(name, F.sum(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(*upto)))
+    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    cuts = _cuts(rows.filter(is_heavy), order)
+    sliced = rows.withColumn("_slice", F.when(is_heavy, _slice_of(cuts, _order_key(order))).otherwise(0))
+    in_slice = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(*upto)
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (sliced.filter(is_heavy).groupBy(key, "_slice").agg(F.sum(value).alias("_c"))
+             .select(key, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before")))
+    out = sliced.withColumn("_run", F.sum(value).over(in_slice)).join(F.broadcast(shift), [key, "_slice"], "left")
+    return (out.withColumn(name, F.col("_run") + F.coalesce("_before", F.lit(0)))
+            .drop("_slice", "_run", "_before"))
+
+
 def dense_index(rows: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """Add the 0-based position of each row in the total order ``order`` (must be unique).
 

@@ -53,12 +53,12 @@ def fit(df: DataFrame, settings: Settings = Settings(), ts: str | None = "ts",
     df = require_rows(adaptive_core(df, settings.min_interactions), minimum_rows)
     users, items = heavy_keys(df, "user_id"), heavy_keys(df, "item_id")
     decay = settings.time_decay_factor if ts else None
-    cells = user_item_cells(interaction_weight(df, settings.implicit_feedback, decay, rating, ts or "ts"))
+    cells = durable(user_item_cells(interaction_weight(df, settings.implicit_feedback, decay, rating, ts or "ts")))
     idf = item_idf(cells) if settings.use_idf_weighting else None
     if sim is None:
-        sim = item_neighbors(cells, settings.similarity_method, settings.k, settings.min_similarity, idf,
-                             heavy_users=users, heavy_items=items)
-    popularity = item_popularity(df, decay)
+        sim = durable(item_neighbors(cells, settings.similarity_method, settings.k, settings.min_similarity, idf,
+                                     heavy_users=users, heavy_items=items))
+    popularity = durable(item_popularity(df, decay))
     return ItemModel(settings, sim, cells, popularity, popular_items(popularity), items)
 
 
@@ -148,22 +148,19 @@ class Candidates:
     found: DataFrame
 
 
-def prepare(model: ItemModel, rows: DataFrame, keep: bool = False) -> Candidates:
-    """Candidates for the users in ``rows``; ``keep`` writes them once for several top_n values."""
+def prepare(model: ItemModel, rows: DataFrame) -> Candidates:
+    """Candidates for the users in ``rows``, written once: back-fill and ranking both read them."""
     history = durable(history_cells(rows, model.settings.time_decay_factor))
-    found = scored_candidates(history, model.sim, model.heavy_items)
-    return Candidates(history, durable(found) if keep else found)
+    return Candidates(history, durable(scored_candidates(history, model.sim, model.heavy_items)))
 
 
 def finish(model: ItemModel, candidates: Candidates, top_n: int = 10, diversity: float = 0.2,
            users: DataFrame | None = None) -> DataFrame:
     """(user_id, item_id, score, rank) from prepared candidates."""
-    history = candidates.history
-    # both columns stay in every use of found, so Spark reuses one aggregation instead of three
-    found = candidates.found.filter(F.col("score").isNotNull() & (F.col("closeness") >= 0))
+    history, found = candidates.history, candidates.found
     extra = cooccurrence_backfill(history, model.cells, found, top_n).withColumn("closeness", F.lit(0.0))
     final = penalised(found.unionByName(extra), model.popularity, model.settings.popularity_weight, diversity)
-    best = top_per_group(final, "user_id", [F.desc("score"), F.asc("item_id")], top_n)
+    best = durable(top_per_group(final, "user_id", [F.desc("score"), F.asc("item_id")], top_n))
     everyone = history.select("user_id").distinct()
     if users is not None:
         everyone = everyone.unionByName(users.select("user_id")).distinct()

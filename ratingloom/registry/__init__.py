@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_FAMILIES = ("rows", "collab", "evaluation")
+_FAMILIES = ("rows", "collab", "evaluation", "diagnosis")
 
 
 def _collect(what: str) -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,20 +28,23 @@ def build_session(master: str, app: str = "ratingloom", shuffle_partitions: int
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ratingloom-"))
-    else:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: spark.checkpoint.dir, or a temporary one in local mode."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ratingloom-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so a lost executor costs no recompute."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: write ``df`` once as Parquet in the shared folder and read it back.
+
+    A lost executor then costs a file read instead of the whole plan, later uses read only
+    their columns, and Spark knows the size when it picks joins.
+    """
+    path = f"{shared_folder(df.sparkSession)}/ratingloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
