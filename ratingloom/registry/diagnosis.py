@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import shown
 from ..operators import diagnostics as dg
 from ..session import durable
-from ..sources.tables import event_interactions, interactions
-from .sql import EVENTS, INTER
+from ..sources.tables import interactions
+from .sql import INTER
 
 
 def _on(check, source=interactions):
@@ -18,8 +18,10 @@ def _on(check, source=interactions):
     return run
 
 
-def _event_stats(spark, d):
-    return durable(dg.statistics(durable(event_interactions(spark, d).select("user_id", "item_id", "rating", "ts", "row_key"))))
+def _basket_stats(spark, d):
+    """Orders as users: a sparse table on which many rules fire."""
+    order = F.split("row_key", "\\|")[0].cast("bigint")
+    return durable(dg.statistics(durable(interactions(spark, d).withColumn("user_id", order))))
 
 
 QUERIES = {
@@ -37,9 +39,9 @@ QUERIES = {
     "diag_sim_potential": _on(dg.similarity_potential),
     "diag_cooc_rate": _on(dg.cooccurrence_rate),
     "diag_cold": _on(dg.cold_start),
-    "diag_issues": lambda s, d: dg.issues(_event_stats(s, d)),
-    "diag_advice": lambda s, d: dg.advice(dg.issues(_event_stats(s, d))),
-    "diag_report": lambda s, d: dg.report(_event_stats(s, d)),
+    "diag_issues": lambda s, d: dg.issues(_basket_stats(s, d)),
+    "diag_advice": lambda s, d: dg.advice(dg.issues(_basket_stats(s, d))),
+    "diag_report": lambda s, d: dg.report(_basket_stats(s, d)),
 }
 
 
@@ -93,7 +95,8 @@ def _r(expr):
     return f"round({expr} + 1e-10, 6)"
 
 
-_STATS = f"""WITH {EVENTS},
+_STATS = f"""WITH {INTER},
+ev AS (SELECT CAST(split_part(row_key, '|', 1) AS BIGINT) AS user_id, item_id, rating, ts, row_key FROM inter),
 {_overlap('ev')},
 {_potential('ev')},
 st AS (SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(*) AS n_interactions,
