@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_FAMILIES = ("rows", "collab", "evaluation", "diagnosis", "training", "ratings", "files", "texts")
+_FAMILIES = ("rows", "collab", "evaluation", "diagnosis", "training", "ratings", "files", "texts", "hybrids")
 
 
 def _collect(what: str) -> dict:
