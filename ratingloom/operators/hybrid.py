@@ -302,32 +302,33 @@ def hybrid_topk(parts: HybridParts, users: DataFrame, k: int = 5, blend: Blend =
     return top_per_group(found, "user_id", [F.desc("score"), F.asc("item_id")], k).drop("key")
 
 
-def _greedy(k: int, kept: int):
+def _greedy(k: int, kept: int, width: int):
     """Task function for one user's kept candidates: MMR list, exact = provably the full greedy."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lead = pdf[pdf["is_first"]].iloc[0]
-        rest = pdf[~pdf["is_first"]].sort_values("item_id")
+        rest = pdf[~pdf["is_first"]].sort_values("item_id").reset_index(drop=True)
         user = int(lead["user_id"])
-        rows = [(user, int(lead["item_id"]), float(lead["score"]), 1, True)]
+        rows = [(user, int(lead["item_id"]), float(lead["score"]), 1)]
         ids, scores = rest["item_id"].to_numpy(np.int64), rest["score"].to_numpy(float)
         # nothing outside the kept rows can beat the smallest kept key, whose value only falls
         floor = rest["key"].min() if len(rest) >= kept else -np.inf
-        vectors = [dict(zip(i, v)) for i, v in zip(rest["idx"], rest["val"])]
-        nearest = np.full(len(ids), -np.inf)
-        free = np.ones(len(ids), bool)
-        chosen, exact = dict(zip(lead["idx"], lead["val"])), True
+        block, dense = _Sparse(rest), np.zeros(width)
+        nearest, free = np.full(len(ids), -np.inf), np.ones(len(ids), bool)
+        idx, val, exact = np.asarray(lead["idx"]), np.asarray(lead["val"]), True
         while len(rows) < k and free.any():
-            for j in np.flatnonzero(free):
-                small, large = (chosen, vectors[j]) if len(chosen) < len(vectors[j]) else (vectors[j], chosen)
-                nearest[j] = max(nearest[j], sum(x * large.get(f, 0.0) for f, x in small.items()))
+            dense[idx] = val
+            nearest = np.maximum(nearest, block.dot(dense))
+            dense[idx] = 0.0
             value = np.floor((0.7 * scores + 0.3 * (1.0 - nearest)) * 1e9 + 0.5) / 1e9
             j = int(np.argmax(np.where(free, value, -np.inf)))
             exact = exact and value[j] > floor + 1e-9
-            rows.append((user, int(ids[j]), float(scores[j]), len(rows) + 1, True))
-            free[j], chosen = False, vectors[j]
+            rows.append((user, int(ids[j]), float(scores[j]), len(rows) + 1))
+            free[j] = False
+            idx, val = np.asarray(rest["idx"][j]), np.asarray(rest["val"][j])
         if len(rows) < k and np.isfinite(floor):
             exact = False
-        return pd.DataFrame([(u, i, s, r, exact) for u, i, s, r, _ in rows], columns=["user_id", "item_id", "score", "rank", "exact"])
+        out = pd.DataFrame(rows, columns=["user_id", "item_id", "score", "rank"])
+        return out.assign(exact=exact)
 
     return run
 
@@ -354,7 +355,7 @@ def mmr_rerank(parts: HybridParts, users: DataFrame, k: int = 10, blend: Blend =
         rows = kept.unionByName(lead.select("user_id", "item_id", "score", F.lit(0.0).alias("key"), F.lit(True).alias("is_first")))
         full = keep if keep < n_items else n_items + 1
         lists = durable(rows.join(vectors, "item_id").groupBy("user_id").applyInPandas(
-            _greedy(k, full), "user_id bigint, item_id bigint, score double, rank bigint, exact boolean"))
+            _greedy(k, full, parts.width), "user_id bigint, item_id bigint, score double, rank bigint, exact boolean"))
         good = lists.filter("exact").drop("exact")
         done = good if done is None else done.unionByName(good)
         todo = durable(lists.filter("not exact").select("user_id").distinct())

@@ -95,11 +95,11 @@ def recommend_cf(spark, d):
 
 
 def _recommend_fallback(spark, d):
-    """A threshold no similarity reaches and users without history: everyone but the
-    back-filled gets the popular list."""
+    """A threshold no similarity reaches, five-star rows as the history: users are served by
+    co-occurrence, those without such a row by the popular list."""
     train, test = train_and_test(spark, d)
     strict = rec.fit(train, rec.Settings(min_similarity=1e6))
-    few = train.filter(F.col("item_id") % 50 == 0)
+    few = train.filter("rating = 5")
     out = rec.recommend(strict, few, users=test.select("user_id").distinct())
     return _recs(out)
 
@@ -201,7 +201,7 @@ SELECT user_id, item_id, round(1 - CAST(0.2 AS DOUBLE) * closeness + 1e-10, 6) A
 SELECT user_id, item_id, round(score + 1e-10, 6) AS score FROM extra_m""",
     "recommend_cf": f"{_TRAIN},\n{model_sql('m', 'train')},\n{recommend_sql('m', 'train')}\n{_RECS_OUT}",
     "recommend_fallback": f"""{_TRAIN},
-few AS (SELECT * FROM train WHERE item_id % 50 = 0),
+few AS (SELECT * FROM train WHERE rating = 5),
 {model_sql('m', 'train', min_sim=1e6)},
 {recommend_sql('m', 'few', users='(SELECT DISTINCT user_id FROM test)')}
 {_RECS_OUT}""",
