@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import share
-from ..functions.skew import heavy_keys, lookup_join
+from ..functions.skew import lookup_join
 
 
 def flag_hits(recs: DataFrame, test: DataFrame, k: int = 10) -> DataFrame:

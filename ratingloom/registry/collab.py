@@ -104,13 +104,6 @@ def _recommend_fallback(spark, d):
     return _recs(out)
 
 
-ENSEMBLE = (
-    (rec.Settings(name="cosine", k=100, popularity_weight=0.3), 0.4),
-    (rec.Settings(name="jaccard", k=80, similarity_method="jaccard", popularity_weight=0.35, use_idf_weighting=False), 0.3),
-    (rec.Settings(name="tanimoto", k=60, similarity_method="tanimoto", popularity_weight=0.4, time_decay_factor=0.85), 0.3),
-)
-
-
 QUERIES = {
     "cooccurrence": lambda s, d: sims.cooccurrence(_cells(s, d)),
     "sim_cosine": _sim("enhanced_cosine", idf=True),

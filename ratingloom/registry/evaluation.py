@@ -12,7 +12,7 @@ from ..plans import item_based as ib
 from ..session import durable
 from ..sources.tables import interactions
 from .collab import train_and_test
-from .collab_sql import candidates_sql, cells_sql, finish_sql, history_sql, model_sql, pairs_sql, popularity_sql, recommend_sql, sim_sql
+from .collab_sql import candidates_sql, finish_sql, history_sql, model_sql, recommend_sql
 from .sql import INTER, train_test
 
 

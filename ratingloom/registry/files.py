@@ -121,6 +121,11 @@ SELECT row_key, CASE WHEN bad THEN 'unknown' ELSE CAST(user_id AS VARCHAR) END A
  CASE WHEN bad THEN 0.0 WHEN user_id % 13 = 0 THEN 1.0 ELSE rating END AS rating,
  CASE WHEN bad OR ts % 5 = 0 THEN 0 ELSE ts END AS ts FROM n""",
     "count_records": f"WITH {INTER} SELECT count(*) AS n_records FROM inter WHERE item_id % 19 <> 0",
+    "infer_fields": f"""WITH {INTER},
+head AS (SELECT * FROM inter WHERE item_id % 19 <> 0 AND user_id % 7 <> 0 ORDER BY ts, row_key LIMIT 1),
+f AS (SELECT 1 AS o, 'reviewerID' AS field FROM head UNION ALL SELECT 2, 'asin' FROM head WHERE item_id % 11 <> 0
+  UNION ALL SELECT 3, 'overall' FROM head WHERE user_id % 13 <> 0 UNION ALL SELECT 4, 'unixReviewTime' FROM head WHERE ts % 5 <> 0)
+SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS pos, field FROM f""",
     "row_chunks": f"WITH {INTER} SELECT row_key, (row_number() OVER (ORDER BY ts, row_key) - 1) // 1000 AS chunk_id FROM inter",
     "split_lines": f"""WITH {INTER},
 p AS (SELECT row_key, (row_number() OVER (ORDER BY ts, row_key) - 1) // 7000 AS part FROM inter WHERE item_id % 19 <> 0)

@@ -61,8 +61,8 @@ def _content_parts(rows):
     return hy.HybridParts(
         profiles=durable(hy.profile_vectors(hy.content_profiles(rows, features), numbers)), vectors=durable(vectors),
         loved=rows.filter("rating >= 4.5").select("user_id", "item_id").distinct(), seen=durable(pairs.distinct()),
-        cf=pairs.limit(0).withColumn("cf", F.lit(0.0)),
-        bonus=pairs.limit(0).select("item_id", F.lit(0.0).alias("quality"), F.lit(0.0).alias("explore")), width=numbers.count())
+        cf=pairs.filter("false").withColumn("cf", F.lit(0.0)),
+        bonus=pairs.filter("false").select("item_id", F.lit(0.0).alias("quality"), F.lit(0.0).alias("explore")), width=numbers.count())
 
 
 def _content_list(love):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import shown
 from ..operators import cleaning, splits, weights
 from ..sources.tables import event_interactions, interactions, review_rows
-from .sql import EVENTS, INTER, LINES, REVIEWS, decay, key_long, train_test
+from .sql import EVENTS, INTER, REVIEWS, decay, key_long, train_test
 
 ORDER = ["ts", "row_key"]
 
@@ -116,7 +116,7 @@ QUERIES = {
     "hybrid_matrix": _hybrid_matrix,
 }
 
-_SHUFFLED = INTER.replace("FROM lines)", "FROM lines)") + """,
+_SHUFFLED = INTER + """,
 keyed AS (SELECT user_id, item_id, row_key, md5('42|' || row_key) AS h FROM inter),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h, row_key) AS rn,
                   count(*) OVER (PARTITION BY user_id) AS cnt FROM keyed)"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import training_sets as ts
 from ..session import durable
 from ..sources.tables import event_interactions, interactions

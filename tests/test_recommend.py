@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from data import frame, interactions
 from ratingloom.operators import popularity as pops
