@@ -94,7 +94,8 @@ def _hybrid(k, explore):
 
 def _mmr(spark, d):
     rows = _event_reviews(spark, d)
-    return hy.mmr_rerank(plan.build_parts(rows), rows.select("user_id").distinct(), 10, hy.Blend(gamma=0.0), keep=32)
+    out = hy.mmr_rerank(plan.build_parts(rows), rows.select("user_id").distinct(), 10, hy.Blend(gamma=0.0), keep=32)
+    return out.withColumn("score", shown("score"))
 
 
 def _mmr_reviews(spark, d):
@@ -212,7 +213,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, ite
 SELECT user_id, item_id, round(score + 1e-10, 6) AS score, rank FROM r"""
 
 
-def _hybrid_sql(k: int, explore: bool) -> str:
+def _scores_sql(explore: bool) -> str:
+    """CTE s(user_id, item_id, score) of all unseen items, without the factor part."""
     return f"""WITH {_EVENT_EXPERT}, {features_sql()},
 {_PROFILE},
 {_CONTENT},
@@ -224,11 +226,29 @@ s AS (SELECT c.user_id, c.item_id, round(CAST(0.2 AS DOUBLE) * quality {'+ explo
   FROM content c JOIN quality USING (item_id) JOIN explore USING (item_id)
   LEFT JOIN love l ON l.user_id = c.user_id AND l.item_id = c.item_id
   LEFT JOIN cf ON cf.user_id = c.user_id AND cf.item_id = c.item_id
-  WHERE NOT EXISTS (SELECT 1 FROM expert e WHERE e.user_id = c.user_id AND e.item_id = c.item_id)),
+  WHERE NOT EXISTS (SELECT 1 FROM expert e WHERE e.user_id = c.user_id AND e.item_id = c.item_id))"""
+
+
+def _hybrid_sql(k: int, explore: bool) -> str:
+    return f"""{_scores_sql(explore)},
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= {k})
 SELECT user_id, item_id, round(score + 1e-10, 6) AS score, rank FROM r"""
 
 
+def _mmr_sql(k: int) -> str:
+    """The greedy unrolled: n<j> holds the open items with their largest cosine to the chosen ones, p<j> the j-th choice."""
+    steps = ["""n1 AS (SELECT user_id, item_id, score, CAST(-1 AS DOUBLE) AS near FROM s),
+p1 AS (SELECT user_id, item_id, score FROM n1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) = 1)"""]
+    for j in range(2, k + 1):
+        steps.append(f"""n{j} AS (SELECT c.user_id, c.item_id, c.score, greatest(c.near, coalesce(i.c, 0)) AS near
+  FROM n{j - 1} c JOIN p{j - 1} p ON p.user_id = c.user_id AND p.item_id <> c.item_id
+  LEFT JOIN icos i ON i.l = p.item_id AND i.item_id = c.item_id),
+p{j} AS (SELECT user_id, item_id, score FROM n{j} QUALIFY row_number() OVER (PARTITION BY user_id
+  ORDER BY round(CAST(0.7 AS DOUBLE) * score + CAST(0.3 AS DOUBLE) * (1 - near), 9) DESC, item_id) = 1)""")
+    picks = " UNION ALL ".join(f"SELECT user_id, item_id, round(score + 1e-10, 6) AS score, CAST({j} AS BIGINT) AS rank FROM p{j}" for j in range(1, k + 1))
+    return f"{_scores_sql(True)},\n" + ",\n".join(steps) + "\n" + picks
+
+
 _KNN = f"WITH {EVENTS}, {_MATRIX.format(w='weight', src='ev')}"
 
 ORACLES = {
@@ -245,6 +265,7 @@ SELECT vec_id, neighbor, round(sim + 1e-10, 6) AS sim, rank FROM r""",
     "score_explore": f"WITH {EXPERT}, {features_sql()}, {_BONUS} SELECT item_id, explore FROM explore",
     "hybrid_scores": _hybrid_sql(10, True),
     "hybrid_topk": _hybrid_sql(5, False),
+    "mmr_rerank": _mmr_sql(10),
     "eval_diversity": f"""WITH {EXPERT.replace(LINES, INTER)},
 {features_sql()},
 {train_test()},
