@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("chat", "quality_rules", "secret_scan")
+_MODULES = ("chat", "quality_rules", "secret_scan", "near_dedup", "quality_cnn", "toxicity")
 
 
 def _collect(what: str) -> dict:
