@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("chat", "quality_rules", "secret_scan", "near_dedup", "quality_cnn", "toxicity")
+_MODULES = ("chat", "quality_rules", "secret_scan", "near_dedup", "quality_cnn", "toxicity", "packing", "decontaminate")
 
 
 def _collect(what: str) -> dict:
