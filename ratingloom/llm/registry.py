@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("chat", "quality_rules", "secret_scan", "near_dedup", "quality_cnn", "toxicity", "packing", "decontaminate")
+_MODULES = ("chat", "quality_rules", "secret_scan", "near_dedup", "quality_cnn", "toxicity", "packing", "decontaminate", "suffix_repeats",
+            "phrase_automata")
 
 
 def _collect(what: str) -> dict:
