@@ -323,6 +323,33 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return spark.createDataFrame([], _HITS) if out is None else out
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
+                      question_share: float = QUESTION_SHARE, answer_share: float = ANSWER_SHARE,
+                      shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose text holds no test item (see contaminated), without a shuffle; all columns stay."""
+    spark, schema = docs.sparkSession, docs.schema
+    for shard in _shards(items, shard_bytes):
+        index = build_index(shard)
+        if index is None:
+            continue
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            essential = None
+            for whole in batches:
+                for batch in tx.slices(whole, "text"):
+                    data, offsets = tx.buffers(batch.column("text"))
+                    if essential is None:
+                        essential = essentials(shared.value, term_numbers(shared.value, term_hashes(data, offsets)[0]),
+                                               threshold)
+                    keep = np.ones(batch.num_rows, bool)
+                    keep[[h[0] for h in search(shared.value, data, offsets, threshold, question_share, answer_share,
+                                               essential)]] = False
+                    yield batch.filter(pa.array(keep))
+        docs = docs.mapInArrow(run, schema)
+    return docs
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"),
                         spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

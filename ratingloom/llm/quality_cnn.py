@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratingloom.llm import text as tx
 
@@ -199,9 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tupl
 
 
 def score_texts(docs: DataFrame, net: ByteNetwork) -> DataFrame:
-    """``docs`` with a column ``score``; every row, null text as empty text, other columns as they are."""
-    columns = docs.columns
-    name = "score" if "score" not in columns else "_score"
+    """``docs`` with one more column, ``score``, at the end: every row, null text as empty text, the rest as it is.
+
+    If ``docs`` has a column of that name, underscores are put before the new one's.
+    """
+    name = "score"
+    while name in docs.columns:
+        name = f"_{name}"
 
     def run(batches):
         for whole in batches:
@@ -209,8 +214,7 @@ def score_texts(docs: DataFrame, net: ByteNetwork) -> DataFrame:
                 scores = net.score(*tx.buffers(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())],
                                                  names=[*batch.schema.names, name])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, {name} double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,13 +117,21 @@ def scan_documents(docs: DataFrame, **limits) -> DataFrame:
         F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it new in ``docs``."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def redact(docs: DataFrame, replacement: str = "[secret]", **limits) -> DataFrame:
     """``docs`` with every span replaced in its text; columns and rows stay.
 
     Overlapping spans are one. The value of an assignment goes with its name.
     """
     spans = scan(docs, **limits).groupBy("doc_key").agg(
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    key, places = _fresh(docs, "doc_key"), _fresh(docs, "spans")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
@@ -134,12 +142,12 @@ def redact(docs: DataFrame, replacement: str = "[secret]", **limits) -> DataFram
                 F.lit(replacement)))).otherwise(acc["out"]).alias("out"))
 
     cut = F.aggregate(
-        "_spans", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), step,
+        F.col(places), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), step,
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(
             F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    return docs.withColumn("_key", _doc_key(docs)).join(
-        spans.withColumnRenamed("doc_key", "_key"), "_key", "left").withColumn(
-        "text", F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("text"))).select(*docs.columns)
+    return docs.withColumn(key, _doc_key(docs)).join(
+        spans.select(F.col("doc_key").alias(key), F.col("spans").alias(places)), key, "left").withColumn(
+        "text", F.when(F.col(places).isNotNull(), cut).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
