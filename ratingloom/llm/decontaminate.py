@@ -58,12 +58,15 @@ def question_and_answer(text: str) -> tuple[np.ndarray, np.ndarray]:
     return whole[:cut], whole[cut:]
 
 
-def shingles(terms: np.ndarray) -> np.ndarray:
-    """Distinct shingle hashes; fewer than SHINGLE terms are one shingle."""
-    rolling = tx.words_rolling(terms)
-    if len(terms) < SHINGLE:
-        return rolling.of(np.array([0]), np.array([len(terms)])) if len(terms) else np.zeros(0, np.uint64)
-    return np.unique(rolling.every(SHINGLE))
+def shingles(terms: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of ``size`` terms in a row."""
+    return np.unique(tx.words_rolling(terms).every(size))
+
+
+def part_shingles(terms: np.ndarray) -> tuple[int, np.ndarray]:
+    """(size, shingles) of a question or answer; one of fewer than SHINGLE terms is one shingle."""
+    size = max(min(SHINGLE, len(terms)), 1)
+    return size, shingles(terms, size)
 
 
 @dataclass
@@ -78,8 +81,8 @@ class Index:
     block_last: np.ndarray  # last item of each block
     block_top: np.ndarray  # largest impact of each block
     longest: int
-    questions: list[np.ndarray]
-    answers: list[np.ndarray]
+    questions: list[tuple[int, np.ndarray]]
+    answers: list[tuple[int, np.ndarray]]
     slots: np.ndarray  # is there a term with these leading bits
 
 
@@ -110,7 +113,7 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     slots[(vocabulary >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
     return Index(np.array([i for i, _, _ in texts]), vocabulary, start, owner, impact, top, block_start, owner[last],
                  np.maximum.reduceat(impact, first), int(sizes.max()),
-                 [shingles(q) for q, _ in both], [shingles(a) for _, a in both], slots)
+                 [part_shingles(q) for q, _ in both], [part_shingles(a) for _, a in both], slots)
 
 
 def term_numbers(index: Index, hashes: np.ndarray) -> np.ndarray:
@@ -252,11 +255,9 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float
         a, b, text = int(start[row]), int(stop[row]), int(owner[row])
         terms = np.unique(number[a:b])
         terms = terms[terms >= 0]
-        near = None
+        around = hashes[max(a - step, int(first[text])):min(b + step, int(first[text + 1]))]
         for item, score in block_max_wand(index, terms, threshold):
-            if near is None:
-                near = shingles(hashes[max(a - step, int(first[text])):min(b + step, int(first[text + 1]))])
-            question, answer = (_share(near, s) for s in (index.questions[item], index.answers[item]))
+            question, answer = (overlap(around, s) for s in (index.questions[item], index.answers[item]))
             if question >= question_share and answer >= answer_share:
                 rank = (-answer, -question, a)
                 if (text, item) not in best or rank < best[text, item][0]:
@@ -265,8 +266,10 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float
             for (text, item), (rank, score) in sorted(best.items())]
 
 
-def _share(near: np.ndarray, wanted: np.ndarray) -> float:
-    return len(np.intersect1d(near, wanted, assume_unique=True)) / len(wanted) if len(wanted) else 1.0
+def overlap(around: np.ndarray, part: tuple[int, np.ndarray]) -> float:
+    """Share of a part's shingles that stand in ``around`` (terms); an empty part is found everywhere."""
+    size, wanted = part
+    return float(np.isin(wanted, shingles(around, size)).mean()) if len(wanted) else 1.0
 
 
 _HITS = "doc_id long, item_id long, score double, question_share double, answer_share double, first_word long"

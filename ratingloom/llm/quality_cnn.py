@@ -103,12 +103,18 @@ class ByteNetwork:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
     def fit(self, chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 32,
-            rate: float = 0.004) -> ByteNetwork:
-        """Adam over mini-batches of texts; ``owner`` (ascending) tells the text of every chunk."""
+            rate: float = 0.004, least_steps: int = 400) -> ByteNetwork:
+        """Adam over mini-batches of texts; ``owner`` (ascending) tells the text of every chunk.
+
+        Small samples are gone through more often, up to ``least_steps`` batches.
+        """
         rng = np.random.default_rng(self.seed)
         first = np.searchsorted(owner, np.arange(len(labels) + 1))
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.weights.items()}
+        epochs = max(epochs, -(-least_steps // -(-len(labels) // batch)))
         steps, total = 0, epochs * -(-len(labels) // batch)
+        prior = np.clip(labels.mean(), 0.02, 0.98)
+        self.weights["out"][:] = np.log(prior / (1 - prior))
         for _ in range(epochs):
             order = rng.permutation(len(labels))
             for at in range(0, len(order), batch):

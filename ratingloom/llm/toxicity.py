@@ -1,7 +1,7 @@
 """Toxicity: a support vector machine over a gapped subsequence string kernel with Nystrom landmarks.
 
 Kernel: every triple of letters that follow each other within SPAN places is a feature with the weight
-DECAY**span, so that "id-iot", "i d i o t" and "idiiot" still share most triples with "idiot". A
+DECAY**span (blanks around a unit count as letters), so that "id-iot", "i d i o t" and "idiiot" still share most triples with "idiot". A
 string's units are its words without inner punctuation; runs of single letters are one unit.
 
 Training works on the units of labelled texts: landmarks are words and word parts that toxic texts
@@ -47,9 +47,11 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, ends, first): the units of every text in lower case (A-Z and Latin letters).
 
-    ASCII punctuation is taken out of words; two or more single letters in a row are joined.
+    ASCII punctuation is taken out of words; two or more single letters in a row are joined. There is
+    a blank before and after every unit, texts have one at either end for that.
     """
-    data = tx.lower(data)
+    data = np.insert(tx.lower(data), np.repeat(offsets, 2), 32)
+    offsets = offsets + 2 * np.arange(len(offsets)) + 1
     after = np.concatenate(([False], data[:-1] == 0xC3)) if len(data) else np.zeros(0, bool)
     data[after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 0x20
     keep = _KEPT[data] | _BLANK[data]
@@ -71,7 +73,8 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _windows(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units longer than UNIT as overlapping windows: (start, length, unit)."""
+    """Units with the blanks around them; longer than UNIT, as overlapping windows: (start, length, unit)."""
+    starts, ends = starts - 1, ends + 1
     sizes = ends - starts
     counts = np.maximum(-(-(sizes - UNIT) // (UNIT // 2)) + 1, 1)
     owner = np.repeat(np.arange(len(sizes)), counts)
@@ -136,8 +139,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _parts(word: bytes) -> set[bytes]:
-    """The word and its parts of 4 to 7 bytes."""
+def _padded(unit: bytes) -> bytes:
+    return b" " + unit[:UNIT - 2] + b" "
+
+
+def _parts(unit: bytes) -> set[bytes]:
+    """The unit and its parts of 4 to 7 bytes, with the blanks around it."""
+    word = _padded(unit)
     return {word} | {word[i:i + n] for n in (4, 5, 6, 7) for i in range(len(word) - n + 1)}
 
 
@@ -149,11 +157,11 @@ def choose_landmarks(texts: list[set[bytes]], toxic: np.ndarray, limit: int = LA
     counts: Counter = Counter()
     for words, y in zip(texts, toxic):
         if y:
-            counts.update({p for w in words for p in _parts(w[:UNIT])})
+            counts.update({p for w in words for p in _parts(w)})
     in_clean = dict.fromkeys((p for p, k in counts.items() if k > 1), 0)
     for words, y in zip(texts, toxic):
         if not y:
-            for p in {p for w in words for p in _parts(w[:UNIT]) if p in in_clean}:
+            for p in {p for w in words for p in _parts(w) if p in in_clean}:
                 in_clean[p] += 1
     n_toxic, n_clean = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     usable = set()
@@ -161,7 +169,7 @@ def choose_landmarks(texts: list[set[bytes]], toxic: np.ndarray, limit: int = LA
         chance = n_toxic * (k + 1) / n_clean
         if counts[p] >= chance + 4 * chance ** 0.5 + 2:
             usable.add(p)
-    covers = [{p for w in words for p in _parts(w[:UNIT]) if p in usable} for words, y in zip(texts, toxic) if y]
+    covers = [{p for w in words for p in _parts(w) if p in usable} for words, y in zip(texts, toxic) if y]
     chosen: list[bytes] = []
     for times in (1, 2, 3):  # cover every toxic text up to three times
         left = [p.difference(chosen) for p in covers]
@@ -187,8 +195,9 @@ def train_machine(texts: list[set[bytes]], toxic: np.ndarray, weights: np.ndarra
     landmarks = choose_landmarks(texts, toxic)
     used = Counter(b for s in landmarks for b in s)
     alphabet = np.zeros(256, np.int32)
-    for nr, b in enumerate(sorted(used, key=lambda b: (-used[b], b))[:63], 1):
+    for nr, b in enumerate(sorted(set(used) - {32}, key=lambda b: (-used[b], b))[:62], 1):
         alphabet[b] = nr
+    alphabet[_BLANK] = 63
     empty = Machine(alphabet, np.zeros(1 << 18, np.float32), 0.0, np.array([0.0, 0.0, -4.6]))
     if not landmarks or toxic.all():
         return empty
@@ -224,7 +233,7 @@ def train_machine(texts: list[set[bytes]], toxic: np.ndarray, weights: np.ndarra
     marked = np.zeros(len(x), bool)
     for t in toxic_texts:
         for unit in t:
-            if any(s in unit for s in landmarks):
+            if any(s in _padded(unit) for s in landmarks):
                 marked[number[unit]] = True
     del number
     w, bias = np.zeros(x.shape[1]), 0.0
@@ -232,7 +241,7 @@ def train_machine(texts: list[set[bytes]], toxic: np.ndarray, weights: np.ndarra
         top = np.concatenate([b[marked[b]] if marked[b].any() else b[[np.argmax(score[b])]] for b in bags])
         rows = np.concatenate([top, clean_units])
         y = np.concatenate([np.ones(len(top)), -np.ones(len(clean_units))])
-        share = np.concatenate([np.full(len(top), 1 / len(top)), np.full(len(clean_units), 4 / len(clean_units))])
+        share = np.concatenate([np.full(len(top), 1 / len(top)), np.full(len(clean_units), 40 / len(clean_units))])
         w, bias = _squared_hinge(x[rows], y, share)
         score = x @ w + bias
     table = np.zeros(1 << 18, np.float32)
@@ -240,7 +249,7 @@ def train_machine(texts: list[set[bytes]], toxic: np.ndarray, weights: np.ndarra
     machine = Machine(alphabet, table, float(bias), empty.final)
     feats = []
     for t in texts:
-        joined = b"\n".join(sorted(t))
+        joined = b"\n".join(sorted(t))  # units are put between blanks again
         feats.append(machine.features(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]))[0])
     machine.final = _logistic(np.array(feats), toxic.astype(float), weights)
     return machine
@@ -250,9 +259,10 @@ def _hardest(strings: list[bytes], near: Machine) -> list[bytes]:
     """At most CLEAN_UNITS of ``strings``: the half nearest to the landmarks, the rest by their order."""
     if len(strings) <= CLEAN_UNITS:
         return strings
-    ends = np.cumsum([len(s) for s in strings])
+    joined = b" " + b" ".join(strings) + b" "
+    ends = np.cumsum([len(s) + 1 for s in strings])
     starts = ends - [len(s) for s in strings]
-    rank = np.argsort(-near.margins(np.frombuffer(b"".join(strings), np.uint8), starts, ends), kind="stable")
+    rank = np.argsort(-near.margins(np.frombuffer(joined, np.uint8), starts, ends), kind="stable")
     top = rank[:CLEAN_UNITS // 2]
     rest = np.setdiff1d(np.arange(len(strings)), top)[:CLEAN_UNITS - len(top)]
     return [strings[i] for i in np.concatenate([top, rest])]
@@ -261,12 +271,13 @@ def _hardest(strings: list[bytes], near: Machine) -> list[bytes]:
 def _nystrom(strings: list[bytes], alphabet: np.ndarray, lookup: np.ndarray, projected: np.ndarray) -> np.ndarray:
     out = np.zeros((len(strings), projected.shape[1]), np.float32)
     projected = projected.astype(np.float32)
-    sizes = np.array([min(len(s), UNIT) for s in strings], int)
+    strings = [_padded(s) for s in strings]
+    sizes = np.array([len(s) for s in strings], int)
     for n in np.unique(sizes):
         rows = np.flatnonzero(sizes == n)
         for at in range(0, len(rows), 2000):
             some = rows[at:at + 2000]
-            c = alphabet[np.frombuffer(b"".join(strings[i][:n] for i in some), np.uint8).reshape(-1, n)]
+            c = alphabet[np.frombuffer(b"".join(strings[i] for i in some), np.uint8).reshape(-1, n)]
             for a, b in _GAPS:
                 if a + b < n:
                     key = lookup[(c[:, :n - a - b] << 12) | (c[:, a:n - b] << 6) | c[:, a + b:]]
