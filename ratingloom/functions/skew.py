@@ -1,8 +1,9 @@
 """Joins and ranks that stay balanced when one key holds a large part of all rows.
 
-Every helper is exact. Keys are "heavy" from ``limits.heavy_rows`` rows on, and only the
-``limits.heavy_keys`` largest keys can be heavy, which bounds the key list by construction;
-any other key holds less than 1/heavy_keys of all rows and needs no special care.
+Every helper is exact. Keys are "heavy" from ``limits.heavy_rows`` rows on. The list of heavy keys
+is bounded by ``limits.heavy_keys``: any key beyond it holds less than 1/65536 of all rows. How many
+salts a key gets follows from the rows of the largest one, how many slices from the number of
+shuffle partitions, so both grow with the data.
 """
 
 from __future__ import annotations
@@ -17,19 +18,27 @@ from pyspark.sql import functions as F
 @dataclass
 class Limits:
     heavy_rows: int = 200_000
-    heavy_keys: int = 1024
-    salts: int = 64
-    slices: int = 1024
+    heavy_keys: int = 65_536
+    salts: int = 64  # at least
+    slices: int = 1024  # at least
     segment_rows: int = 2048
 
 
 limits = Limits()
 
 
-_known: OrderedDict[tuple, list] = OrderedDict()
+class Heavy(list):
+    """Heavy keys, and how many salts spread the largest of them into parts of heavy_rows rows."""
 
+    def __init__(self, keys: list, most: int):
+        super().__init__(keys)
+        self.salts = max(limits.salts, -(-most // limits.heavy_rows))
 
-def heavy_keys(df: DataFrame, key: str) -> list:
+
+_known: OrderedDict[tuple, Heavy] = OrderedDict()
+
+
+def heavy_keys(df: DataFrame, key: str) -> Heavy:
     """The largest keys of ``df``, at most limits.heavy_keys values; one small job.
 
     The list only balances work, no result depends on it, so it is remembered per plan.
@@ -41,7 +50,8 @@ def heavy_keys(df: DataFrame, key: str) -> list:
             .filter((F.col("n") >= limits.heavy_rows) & F.col("k").isNotNull())
             .orderBy(F.desc("n"), "k").limit(limits.heavy_keys)
         )
-        _known[memo] = [r["k"] for r in top.collect()]
+        rows = top.collect()
+        _known[memo] = Heavy([r["k"] for r in rows], rows[0]["n"] if rows else 0)
         if len(_known) > 256:
             _known.popitem(last=False)
     return _known[memo]
@@ -58,10 +68,11 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left",
     """
     if not heavy:
         return rows.join(table, key, how)
-    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key] or [key]), F.lit(limits.salts))
+    salts = getattr(heavy, "salts", limits.salts)
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key] or [key]), F.lit(salts))
     is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
     left = rows.withColumn("_salt", F.when(is_heavy, spread).otherwise(F.lit(0)).cast("int"))
-    copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(limits.salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = table.withColumn("_salt", F.explode(copies))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
@@ -70,24 +81,29 @@ def _order_key(order: list[str]) -> Column:
     return F.struct(*order)
 
 
+def _slices(df: DataFrame) -> int:
+    """Four slices for each shuffle partition, as the user sizes these to the data."""
+    return max(limits.slices, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _cuts(df: DataFrame, order: list[str]) -> Column:
-    """Literal sorted array of at most slices-1 order keys, a hash sample of ``df``'s rows.
+    """Literal sorted array of at most _slices - 1 order keys, a hash sample of ``df``'s rows.
 
     One small job; the sample is fixed in the plan, so a recomputed task sees the same cuts.
     """
     sample = (
         df.select(_order_key(order).alias("_o"))
-        .orderBy(F.xxhash64("_o"), "_o").limit(limits.slices - 1)
+        .orderBy(F.xxhash64("_o"), "_o").limit(_slices(df) - 1)
         .agg(F.array_sort(F.collect_list("_o")).alias("_cuts"))
     )
     text = sample.select(F.to_json("_cuts").alias("j")).first()["j"]
     return F.from_json(F.lit(text), sample.schema["_cuts"].dataType)
 
 
-def _slice_of(cuts: Column, key: Column) -> Column:
+def _slice_of(cuts: Column, key: Column, slices: int) -> Column:
     """Number of cuts <= key, by halving steps over the sorted array."""
     steps, p = [], 1
-    while p < limits.slices:
+    while p < slices:
         steps.append(p)
         p *= 2
     return F.aggregate(
@@ -110,7 +126,7 @@ def number_in_group(rows: DataFrame, key: str, order: list[str], pos: str = "pos
         return out.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(key))) if size else out
     is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
     cuts = _cuts(rows.filter(is_heavy), order)
-    sliced = rows.withColumn("_slice", F.when(is_heavy, _slice_of(cuts, _order_key(order))).otherwise(0))
+    sliced = rows.withColumn("_slice", F.when(is_heavy, _slice_of(cuts, _order_key(order), _slices(rows))).otherwise(0))
     in_slice = Window.partitionBy(key, "_slice")
     out = sliced.withColumn("_rn", F.row_number().over(in_slice.orderBy(*order)))
     if size:
@@ -139,7 +155,7 @@ def running_sum(rows: DataFrame, key: str, order: list[str], value: str, name: s
         return rows.withColumn(name, F.sum(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(*upto)))
     is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
     cuts = _cuts(rows.filter(is_heavy), order)
-    sliced = rows.withColumn("_slice", F.when(is_heavy, _slice_of(cuts, _order_key(order))).otherwise(0))
+    sliced = rows.withColumn("_slice", F.when(is_heavy, _slice_of(cuts, _order_key(order), _slices(rows))).otherwise(0))
     in_slice = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(*upto)
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = (sliced.filter(is_heavy).groupBy(key, "_slice").agg(F.sum(value).alias("_c"))
@@ -155,7 +171,7 @@ def dense_index(rows: DataFrame, order: list[str], name: str = "idx") -> DataFra
     Replaces a one-task global row_number: rows are cut into order-preserving slices,
     numbered per slice and shifted by the slice offsets (at most limits.slices rows).
     """
-    sliced = rows.withColumn("_slice", _slice_of(_cuts(rows, order), _order_key(order)))
+    sliced = rows.withColumn("_slice", _slice_of(_cuts(rows, order), _order_key(order), _slices(rows)))
     numbered = sliced.withColumn("_rn", F.row_number().over(Window.partitionBy("_slice").orderBy(*order)))
     counts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -167,11 +183,11 @@ def dense_index(rows: DataFrame, order: list[str], name: str = "idx") -> DataFra
     )
 
 
-def _lowest(rows: DataFrame, n: int, order: list[str], bucket: Column) -> DataFrame:
+def _lowest(rows: DataFrame, n: int, order: list[str], bucket: Column, sliced: bool = False) -> DataFrame:
     """Exactly the first n rows in ``order``, given an order-preserving bucket column.
 
-    Rows are counted per bucket; whole buckets below the boundary are kept as they are and
-    only the boundary bucket is ranked, so no task merges n rows per partition.
+    Rows are counted per bucket; whole buckets below the boundary are kept as they are and only the
+    boundary bucket is ranked. A large one (many ties) is first cut into slices itself.
     """
     tagged = rows.withColumn("_b", bucket)
     counts = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
@@ -181,12 +197,17 @@ def _lowest(rows: DataFrame, n: int, order: list[str], bucket: Column) -> DataFr
         .filter(F.col("_cum") - F.col("_c") < n)
         .select("_b", (F.lit(n) - (F.col("_cum") - F.col("_c"))).alias("_take"), "_c")
     )
-    kept = tagged.join(F.broadcast(need), "_b")  # one row per bucket, at most 65 536
-    whole = kept.filter(F.col("_take") >= F.col("_c"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    partial = (kept.filter(F.col("_take") < F.col("_c"))
-               .withColumn("_rn", rank).filter(F.col("_rn") <= F.col("_take")).drop("_rn"))
-    return whole.unionByName(partial).drop("_b", "_take", "_c")
+    kept = tagged.join(need, "_b")  # a row per bucket, no more than n; Spark decides by its size
+    whole = kept.filter(F.col("_take") >= F.col("_c")).drop("_b", "_take", "_c")
+    edge = need.filter(F.col("_take") < F.col("_c")).first()
+    if edge is None:
+        return whole
+    inside = tagged.filter(F.col("_b") == F.lit(edge["_b"])).drop("_b")
+    if edge["_c"] > limits.heavy_rows and not sliced:
+        return whole.unionByName(_lowest(
+            inside, edge["_take"], order, _slice_of(_cuts(inside, order), _order_key(order), _slices(rows)), True))
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))  # one bucket, at most heavy_rows rows
+    return whole.unionByName(inside.withColumn("_rn", rank).filter(F.col("_rn") <= edge["_take"]).drop("_rn"))
 
 
 def lowest_by_key(rows: DataFrame, n: int, hex_key: str, tie: str) -> DataFrame:
@@ -196,7 +217,7 @@ def lowest_by_key(rows: DataFrame, n: int, hex_key: str, tie: str) -> DataFrame:
 
 def first_in_order(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
     """Exactly the first ``n`` rows in ``order``."""
-    return _lowest(rows, n, order, _slice_of(_cuts(rows, order), _order_key(order)))
+    return _lowest(rows, n, order, _slice_of(_cuts(rows, order), _order_key(order), _slices(rows)))
 
 
 def top_per_group(rows: DataFrame, key: str | list[str], order: list, n: int, rank: str = "rank") -> DataFrame:

@@ -218,29 +218,35 @@ def issues(stats: DataFrame) -> DataFrame:
     return stats.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("_i")).select("_i.pos", "_i.issue")
 
 
-# Words looked for in the issue texts, and the advice they lead to.
+# Words looked for in the issue texts, and the advice they lead to; the last field of each is
+# the call of this library that follows the advice.
 ADVICE = (
     (("sparsity",), "Data Filtering", "Increase minimum interaction thresholds",
-     "Filter users with <5 interactions and items with <5 interactions"),
+     "Filter users with <5 interactions and items with <5 interactions",
+     "cleaning.minimum_counts(df, 5, 5)"),
     (("overlap", "similarity"), "Similarity Computation", "Lower similarity thresholds and increase k",
-     "Use min_similarity=0.001, k=50-100, try Jaccard for binary data"),
+     "Use min_similarity=0.001, k=50-100, try Jaccard for binary data",
+     "recommend.Settings(similarity_method='jaccard', k=50, min_similarity=0.001)"),
     (("coverage", "evaluation"), "Evaluation Strategy", "Improve train/test split strategy",
-     "Use temporal split or stratified sampling, require min 3 interactions for evaluation"),
+     "Use temporal split or stratified sampling, require min 3 interactions for evaluation",
+     "splits.temporal_split(df, 0.2, keep=3)"),
     (("popularity", "bias"), "Popularity Bias", "Add popularity-based regularization",
-     "Penalize popular items in recommendations, boost long-tail items"),
+     "Penalize popular items in recommendations, boost long-tail items",
+     "recommend.Settings(popularity_weight=0.1)"),
     (("cold",), "Cold Start Handling", "Implement hybrid approach",
-     "Combine collaborative filtering with content-based and popularity-based methods"),
+     "Combine collaborative filtering with content-based and popularity-based methods",
+     "plans.hybrid.recommend_hybrid(parts, train, users, 10)"),
 )
 
 
 def advice(found: DataFrame) -> DataFrame:
-    """(pos, category, action, details): advice whose words occur in any issue text."""
+    """(pos, category, action, details, code): advice whose words occur in any issue text."""
     low = F.lower("issue")
     hit = found.agg(*[F.coalesce(F.max(F.greatest(*[low.contains(w) for w in words] + [F.lit(False)])), F.lit(False)).alias(f"a{i}")
                       for i, (words, *_) in enumerate(ADVICE, 1)])
     rows = [F.when(F.col(f"a{i}"), F.struct(F.lit(i).alias("pos"), F.lit(cat).alias("category"),
-                                            F.lit(act).alias("action"), F.lit(det).alias("details")))
-            for i, (_, cat, act, det) in enumerate(ADVICE, 1)]
+                                            F.lit(act).alias("action"), F.lit(det).alias("details"), F.lit(code).alias("code")))
+            for i, (_, cat, act, det, code) in enumerate(ADVICE, 1)]
     return hit.select(F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("_a")).select("_a.*")
 
 

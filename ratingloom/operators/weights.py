@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import whole_days
-from ..functions.skew import dense_index, heavy_keys, lookup_join
+from ..functions.skew import dense_index, heavy_keys, lookup_join, number_in_group
 
 
 def encode_sorted(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
@@ -78,6 +78,14 @@ def user_profiles(df: DataFrame, user: str = "user_id", item: str = "item_id",
     return df.groupBy(user).agg(*aggs)
 
 
+def user_history(df: DataFrame, order: tuple[str, ...] = ("ts", "row_key"), user: str = "user_id",
+                 item: str = "item_id") -> DataFrame:
+    """(user, pos, item, ts, is_first): the rows of a user in time order, and whether the item is new to the user."""
+    numbered = number_in_group(df, user, list(order), "pos", None)
+    first = numbered.groupBy(user, item).agg(F.min("pos").alias("_first"))
+    return numbered.join(first, [user, item]).select(user, "pos", item, "ts", (F.col("pos") == F.col("_first")).alias("is_first"))
+
+
 def helpfulness(helpful: Column) -> Column:
     """Share of helpful votes, 0.5 without votes."""
     return F.when(F.get(helpful, F.lit(1)) > 0,

@@ -127,13 +127,18 @@ iss AS (
   UNION ALL SELECT 17, printf('High cold-start user ratio: %.1f%%', cu * 100) FROM w WHERE cu > 0.5
   UNION ALL SELECT 18, printf('High cold-start item ratio: %.1f%%', ci * 100) FROM w WHERE ci > 0.5),
 rules AS (SELECT * FROM (VALUES
-  (1, 'sparsity', 'sparsity', 'Data Filtering', 'Increase minimum interaction thresholds', 'Filter users with <5 interactions and items with <5 interactions'),
-  (2, 'overlap', 'similarity', 'Similarity Computation', 'Lower similarity thresholds and increase k', 'Use min_similarity=0.001, k=50-100, try Jaccard for binary data'),
-  (3, 'coverage', 'evaluation', 'Evaluation Strategy', 'Improve train/test split strategy', 'Use temporal split or stratified sampling, require min 3 interactions for evaluation'),
-  (4, 'popularity', 'bias', 'Popularity Bias', 'Add popularity-based regularization', 'Penalize popular items in recommendations, boost long-tail items'),
-  (5, 'cold', 'cold', 'Cold Start Handling', 'Implement hybrid approach', 'Combine collaborative filtering with content-based and popularity-based methods')
-  ) t(pos, w1, w2, category, action, details)),
-adv AS (SELECT pos, category, action, details FROM rules r
+  (1, 'sparsity', 'sparsity', 'Data Filtering', 'Increase minimum interaction thresholds', 'Filter users with <5 interactions and items with <5 interactions',
+   'cleaning.minimum_counts(df, 5, 5)'),
+  (2, 'overlap', 'similarity', 'Similarity Computation', 'Lower similarity thresholds and increase k', 'Use min_similarity=0.001, k=50-100, try Jaccard for binary data',
+   'recommend.Settings(similarity_method=''jaccard'', k=50, min_similarity=0.001)'),
+  (3, 'coverage', 'evaluation', 'Evaluation Strategy', 'Improve train/test split strategy', 'Use temporal split or stratified sampling, require min 3 interactions for evaluation',
+   'splits.temporal_split(df, 0.2, keep=3)'),
+  (4, 'popularity', 'bias', 'Popularity Bias', 'Add popularity-based regularization', 'Penalize popular items in recommendations, boost long-tail items',
+   'recommend.Settings(popularity_weight=0.1)'),
+  (5, 'cold', 'cold', 'Cold Start Handling', 'Implement hybrid approach', 'Combine collaborative filtering with content-based and popularity-based methods',
+   'plans.hybrid.recommend_hybrid(parts, train, users, 10)')
+  ) t(pos, w1, w2, category, action, details, code)),
+adv AS (SELECT pos, category, action, details, code FROM rules r
   WHERE EXISTS (SELECT 1 FROM iss WHERE contains(lower(issue), w1) OR contains(lower(issue), w2)))
 """
 
@@ -165,7 +170,7 @@ UNION ALL SELECT 'item', {_r(_gini('inter', 'item_id'))}""",
         "SELECT '{s}' AS side, count(*) FILTER (WHERE n <= 1) AS n_cold, round(count(*) FILTER (WHERE n <= 1) / CAST(count(*) AS DOUBLE) "
         "+ 1e-10, 6) AS cold_share FROM (SELECT count(*) AS n FROM inter GROUP BY {k})"),
     "diag_issues": f"{_STATS} SELECT pos, issue FROM iss",
-    "diag_advice": f"{_STATS} SELECT pos, category, action, details FROM adv",
+    "diag_advice": f"{_STATS} SELECT pos, category, action, details, code FROM adv",
     "diag_report": f"""{_STATS}
 SELECT 'statistics' AS section, 1 AS pos, 'n_users' AS key, printf('%d', n_users) AS value FROM w
 UNION ALL SELECT 'statistics', 2, 'n_items', printf('%d', n_items) FROM w

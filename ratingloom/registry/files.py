@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import shown
 from ..operators.weights import with_expertise
-from ..session import shared_folder
+from ..session import run_folder
 from ..sources import movielens, reviews
 from ..sources.tables import interactions, review_rows
 from .sql import INTER, REVIEWS
@@ -79,7 +79,7 @@ def _split_lines(spark, d):
 
 
 def _load_ratings(spark, d):
-    folder = f"{shared_folder(spark)}/ratings-{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/ratings-{uuid.uuid4().hex}"
     rows = interactions(spark, d).select("user_id", "item_id", F.col("rating").cast("int").alias("rating"), "ts")
     rows.write.option("sep", "\t").csv(folder)
     return movielens.load_ratings(spark, folder)

@@ -108,6 +108,7 @@ QUERIES = {
     "ui_density": lambda s, d: weights.matrix_shape(_cells(s, d)).withColumn("density", shown("density")),
     "item_idf": lambda s, d: weights.item_idf(_cells(s, d)).withColumn("idf", shown("idf")),
     "user_profiles": lambda s, d: weights.user_profiles(interactions(s, d)).withColumn("avg_rating", shown("avg_rating")),
+    "user_history": lambda s, d: weights.user_history(interactions(s, d)),
     "helpfulness": lambda s, d: review_rows(s, d).select(
         "row_key", shown(weights.helpfulness(F.col("helpful"))).alias("helpfulness")),
     "user_expertise": lambda s, d: weights.with_expertise(review_rows(s, d)).select(
@@ -159,9 +160,9 @@ FROM ranked""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, row_key) AS rn,
                   count(*) OVER (PARTITION BY user_id) AS cnt FROM inter),
 parts AS (SELECT *, CASE WHEN rn > cnt - greatest(1, least(CAST(floor(cnt * CAST(0.2 AS DOUBLE)) AS BIGINT), cnt - 3))
-                         THEN 'test' ELSE 'train' END AS part FROM ranked WHERE cnt >= 5)
-SELECT user_id, item_id, row_key, part FROM parts
-WHERE part = 'train' OR item_id IN (SELECT item_id FROM parts WHERE part = 'train')""",
+                         THEN 'test' ELSE 'train' END AS part FROM ranked WHERE cnt >= 5),
+known AS (SELECT item_id FROM parts WHERE part = 'train' GROUP BY item_id)
+SELECT user_id, parts.item_id AS item_id, row_key, part FROM parts JOIN known ON known.item_id = parts.item_id""",
     "split_kfold": f"""WITH {INTER},
 pos AS (SELECT row_key, row_number() OVER (ORDER BY ts, row_key) - 1 AS p, count(*) OVER () AS c FROM inter)
 SELECT row_key, CAST(least(p // greatest(1, c // 5), 4) AS INTEGER) AS fold FROM pos""",
@@ -188,6 +189,9 @@ FROM cells WHERE w > 0 GROUP BY 1""",
     "user_profiles": f"""WITH {INTER}
 SELECT user_id, count(*) AS n_rows, count(DISTINCT item_id) AS n_items, min(ts) AS first_ts, max(ts) AS last_ts,
        round(avg(rating) + 1e-10, 6) AS avg_rating FROM inter GROUP BY 1""",
+    "user_history": f"""WITH {INTER}
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, row_key) AS pos, item_id, ts,
+       row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts, row_key) = 1 AS is_first FROM inter""",
     "helpfulness": f"WITH {EXPERT} SELECT row_key, round(helpfulness + 1e-10, 6) AS helpfulness FROM expert",
     "user_expertise": f"WITH {EXPERT} SELECT row_key, round(user_expertise + 1e-10, 6) AS user_expertise FROM expert",
     "hybrid_weight": f"WITH {EXPERT} SELECT row_key, round({SIGNAL} + 1e-10, 6) AS w FROM expert",

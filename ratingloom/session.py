@@ -39,12 +39,46 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_run: dict[str, str] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; everything that is written goes there."""
+    app = spark.sparkContext.applicationId
+    if app not in _run:
+        _run[app] = f"{shared_folder(spark)}/ratingloom-{app}-{uuid.uuid4().hex[:8]}"
+    return _run[app]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` once as Parquet in the shared folder and read it back.
 
     A lost executor then costs a file read instead of the whole plan, later uses read only
     their columns, and Spark knows the size when it picks joins.
     """
-    path = f"{shared_folder(df.sparkSession)}/ratingloom-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of ``durable`` that an iteration has replaced; nothing may read them any more."""
+    for df in frames:
+        path = getattr(df, "durable_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def close_run(spark: SparkSession) -> None:
+    """Delete all that this application wrote for itself; call it when the results are stored."""
+    path = _run.pop(spark.sparkContext.applicationId, None)
+    if path:
+        _delete(spark, path)
