@@ -108,29 +108,29 @@ def _long(factors, side):
 
 
 def _svd(spark, d):
-    u, v = fac.svd(_event_matrix(spark, d), 10)
+    u, v = fac.svd(_event_matrix(spark, d))
     return _long(u, "user").unionByName(_long(v, "item"))
 
 
 def _nmf(spark, d):
-    w, h = fac.nmf(_event_matrix(spark, d), 8, 6)
+    w, h = fac.nmf(_event_matrix(spark, d))
     return _long(w, "user").unionByName(_long(h, "item"))
 
 
 def _mf(spark, d):
-    u, v = fac.user_item_factors(_event_matrix(spark, d), 10, nmf_iter=4)
+    u, v = fac.user_item_factors(_event_matrix(spark, d))
     return _long(u, "user").unionByName(_long(v, "item"))
 
 
 def _score_mf(spark, d):
     rows = _event_reviews(spark, d)
-    parts = plan.build_parts(rows, 10, 4)
+    parts = plan.build_parts(rows, 100)
     return hy.hybrid_topk(parts, rows.select("user_id").distinct(), 10, hy.Blend(0.0, 0.0, 1.0, 0.0, 0.0, False))
 
 
 def _sweep(spark, d):
     train, test = temporal_split(_event_reviews(spark, d))
-    return plan.sweep_hybrid(durable(train), durable(test), 10, n_factors=8, nmf_iter=3)
+    return plan.sweep_hybrid(durable(train), durable(test), 10)
 
 
 def _diversity(spark, d):
