@@ -128,10 +128,9 @@ def risk_controlled_cutoffs(measured: DataFrame, labels: DataFrame, cutoffs: dic
     rows = counts.select("stratum", "n_good", F.explode(F.array(*[
         F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("n_rejected"))
         for i, (rule, c) in enumerate(pairs)])).alias("h")).select("stratum", "n_good", "h.*")
-    strata = counts.agg(F.count(F.lit(1)).alias("strata"))  # one row
+    strata = counts.select(F.count(F.lit(1))).scalar()
     p = _false_rejection_p(F.col("n_good"), F.col("n_rejected"), risk / len(cutoffs))
-    return (rows.withColumn("p_value", p).join(F.broadcast(strata))
-            .withColumn("certified", F.col("p_value") <= delta / (F.col("strata") * len(pairs))).drop("strata"))
+    return rows.withColumn("p_value", p).withColumn("certified", F.col("p_value") <= delta / (strata * len(pairs)))
 
 
 def apply_rules(measured: DataFrame, hypotheses: DataFrame, cutoffs: dict | None = None) -> DataFrame:
