@@ -7,9 +7,9 @@ per element instead of one hash per place.
 
 Plan: texts -> (set size, set hash, band hashes), one pass. Equal sets become one class first, so
 copies never meet in a bucket. Bands of class representatives form buckets. Instead of all pairs of
-a bucket, the member met most often is compared with the others; links join components; then only
-members of one bucket that are still in different components are compared, so no candidate link
-between two components is left out. Every link is confirmed on the full sets.
+a bucket, the member met most often is compared with the others; links join components; then members of
+one bucket that are still in different components are compared, unless their rare shingles rule a
+link out, so no link between two components is lost. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from ratingloom.llm.components import components
 from ratingloom.session import durable
 
 BANDS, ROWS = 20, 4
+#: A shingle is rare if at most so many of the sets that are still to be compared have it.
+RARE = 64
 _TOP = np.uint64(56)
 
 
@@ -136,6 +138,68 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def _several_components(rows: DataFrame) -> DataFrame:
+    """The rows of buckets whose nodes are in different components."""
+    split = rows.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return rows.join(split.filter("lo <> hi").select("band", "key"), ["band", "key"])
+
+
+def _elements(sets: DataFrame) -> DataFrame:
+    """node, element of every set."""
+    schema = pa.schema([("node", pa.int64()), ("element", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for node, packed in zip(batch.column("node"), batch.column("elements")):
+                found = np.frombuffer(packed.as_buffer(), np.int64)
+                for at in range(0, len(found), 50_000):
+                    part = pa.array(found[at:at + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(node, len(part)), part], schema=schema)
+    return sets.mapInArrow(run, "node long, element long")
+
+
+def _left_over_pairs(rows: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components that may be linked; ``rows``: band, key, node, component.
+
+    Shingles that at most RARE of these sets have are rare. Two sets that share c rare ones share at
+    most c + min(common) in all, ``common`` being the size without rare ones. So pairs that share a rare
+    shingle are met through it, at most RARE^2 / 2 for one shingle; pairs that share none are bounded by
+    their common shingles and sizes. In a group of copies with edits of their own, the strongly edited
+    ones are thereby settled without being compared.
+    """
+    part, whole = share
+    state = rows.select("node", "component").distinct()
+    elements = durable(_elements(sets.join(state.select("node"), "node", "left_semi")))
+    held = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE)
+    rare = elements.join(held, "element")
+    sizes = sets.select("node", F.floor(F.length("elements") / 8).alias("size")).groupBy("node").agg(
+        F.min("size").alias("size"), F.max("size").alias("largest"))
+    per = rare.groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
+    # an id with several texts is not pruned
+    common = F.when(F.col("size") == F.col("largest"), F.col("size") - F.coalesce("rare", F.lit(0))).otherwise(2 ** 40)
+    state = durable(state.join(sizes, "node").join(per, "node", "left").select(
+        "node", "component", "size", common.alias("common")))
+    most = F.floor(F.col("common") * (part + whole) / part) - F.col("size")
+    # through rare shingles
+    known = rare.filter("n > 1").select("element", "node").join(state, "node")
+    x, y = known.alias("x"), known.alias("y")
+    through = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.node") < F.col("y.node"))
+                     & (F.col("x.component") != F.col("y.component"))).groupBy(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"), (F.col("x.size") + F.col("y.size")).alias("both"),
+        F.least("x.common", "y.common").alias("common")).agg(F.count(F.lit(1)).alias("c")).filter(
+        (F.col("c") + F.col("common")) * (part + whole) >= F.col("both") * part).select("a", "b")
+    # through buckets
+    limited = rows.select("band", "key", "node").join(state.withColumn("most", most), "node")
+    least = limited.groupBy("band", "key").agg(F.min("size").alias("least"))
+    fit = durable(_several_components(limited.join(least, ["band", "key"]).filter("most >= least").drop("least")))
+    x, y = fit.alias("x"), fit.alias("y")
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
+                 & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+                 & (F.col("x.size") <= F.col("y.most")) & (F.col("y.size") <= F.col("x.most"))).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return through.unionByName(met).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100),
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
@@ -151,19 +215,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
     """
     signed = durable(signatures(docs, words, bands, rows))
     named = signed.filter("doc_id IS NOT NULL AND set_hash IS NOT NULL")
-    classes = named.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    # written tables, not aggregates, on both sides of a join: Spark can then split the rows of a hot key
+    classes = durable(named.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
     buckets = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = durable(buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = durable(buckets.join(shared, ["band", "key"]).select("band", "key", "size", "node"))
     # how often a node meets others: the best middle of a star
     reach = members.groupBy("node").agg(F.sum("size").alias("reach"))
     ranked = members.join(reach, "node")
-    middle = ranked.groupBy("band", "key").agg(
+    middle = durable(ranked.groupBy("band", "key").agg(
         F.max(F.struct("reach", (-F.col("node")).alias("minus"))).alias("m")).select(
-        "band", "key", (-F.col("m.minus")).alias("middle"))
+        "band", "key", (-F.col("m.minus")).alias("middle")))
+    around = members.join(middle, ["band", "key"]).filter("node <> middle")
     involved = reach.select(F.col("node").alias("doc_id"))
     sets = durable(packed_sets(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi"), words).distinct())
-    stars = members.join(middle, ["band", "key"]).filter("node <> middle").select(
+    stars = around.select(
         F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).distinct()
     # an id with several texts is one node: it is linked with the classes of all of them
     several = named.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).filter("lo <> hi")
@@ -172,20 +238,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
     links = durable(confirmed(stars, sets, share).unionByName(own))
     label = durable(components(links))
     # what is left: members of a bucket in different components; pairs with the middle are done
-    tagged = members.join(middle, ["band", "key"]).join(label, "node", "left").select(
-        "band", "key", "node", "middle", F.coalesce("component", "node").alias("component"))
-    split = tagged.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(
-        "lo <> hi").select("band", "key")
-    open_rows = durable(tagged.join(split, ["band", "key"]))
-    x, y = open_rows.filter("node <> middle").alias("x"), open_rows.filter("node <> middle").alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
-                  & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))).select(
-        F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    tagged = around.join(label, "node", "left").select(
+        "band", "key", "node", F.coalesce("component", "node").alias("component"))
+    open_rows = durable(_several_components(tagged))
+    rest = _left_over_pairs(open_rows, sets, share)
     more = durable(confirmed(rest, sets, share))
     if not more.isEmpty():
         label = durable(components(links.unionByName(more)))
-    named_classes = classes.select("set_hash", "node").join(label, "node", "left").select(
-        "set_hash", F.coalesce("component", "node").alias("component"))
+    named_classes = durable(classes.select("set_hash", "node").join(label, "node", "left").select(
+        "set_hash", F.coalesce("component", "node").alias("component")))
     out = signed.drop("bands").join(named_classes, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
