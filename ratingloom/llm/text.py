@@ -19,7 +19,7 @@ _ODD = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Row ranges of ``batch`` whose ``column`` has about ``limit`` bytes at most, one row at least."""
     _, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
     at, rows = 0, batch.num_rows

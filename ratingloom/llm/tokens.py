@@ -20,7 +20,7 @@ from ratingloom.llm import text as tx
 _LATIN = 0x250
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 #: Pieces that are kept in memory per worker process, about 30 bytes each.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 
 
 @functools.cache
