@@ -4,7 +4,7 @@ The edges of repeats (see repeats) are compared with an enhanced suffix array ov
 suffixes sorted by prefix doubling, common prefixes of neighbours from the ranks of the doubling steps. A
 stack scan turns them into the tree of common-prefix intervals; an interval of at least ``length`` bytes is a
 maximal repeat if the bytes on the left of its suffixes differ, or one has none. Each such interval is a
-group with all its occurrences, not just neighbours.
+group with all its occurrences among these contexts; repeat_groups lists the groups of the whole corpus.
 """
 
 from __future__ import annotations
