@@ -159,16 +159,25 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def training_sample(labels: DataFrame, label: str, fold: tuple[int, int], size: int) -> DataFrame:
-    """doc_id, y of at most ``size`` labelled ids outside of the held-out fold, chosen by hash.
+def single_labels(labels: DataFrame, label: str, fold: tuple[int, int]) -> DataFrame:
+    """doc_id, y of the labelled ids outside of the held-out fold.
 
     Ids with contradicting labels are left out, rows that repeat count once.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).filter(
         ~held_out(F.col("doc_id"), *fold))
-    one = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+    return usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min(label).alias("y"), F.max(label).alias("hi")).filter("y = hi").select("doc_id", F.col("y").cast("int"))
-    return one.orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").limit(size)
+
+
+def chosen(known: DataFrame, label: str, size: int) -> DataFrame:
+    """At most ``size`` rows of single_labels, chosen by hash."""
+    return known.orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").limit(size)
+
+
+def training_sample(labels: DataFrame, label: str, fold: tuple[int, int], size: int) -> DataFrame:
+    """doc_id, y of at most ``size`` labelled ids (see single_labels), chosen by hash."""
+    return chosen(single_labels(labels, label, fold), label, size)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tuple[int, int] = (4, 2),
