@@ -180,6 +180,13 @@ def training_sample(labels: DataFrame, label: str, fold: tuple[int, int], size:
     return chosen(single_labels(labels, label, fold), label, size)
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """doc_id, y, text: one row per id of ``sample``, however many rows of ``docs`` have it."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select(
+        "doc_id", "y", "one.text")
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tuple[int, int] = (4, 2),
           size: int = TRAIN_DOCS) -> ByteNetwork:
     """Fit a network on a bounded sample: ``size`` texts, TRAIN_CHUNKS chunks spread over each.
@@ -202,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: tupl
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("y"), pa.array(taken, pa.binary())], schema=schema)
     sample = training_sample(labels, label, fold, size)  # at most ``size`` rows
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id").mapInArrow(
+    rows = sampled_texts(docs, sample).mapInArrow(
         cut, "doc_id long, y int, chunks binary").toPandas().sort_values(["doc_id", "chunks"])
     y = rows["y"].to_numpy(np.float32)
     if not len(y) or y.min() == y.max():

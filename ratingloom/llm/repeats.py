@@ -245,8 +245,8 @@ def merged(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text, spans (array of start and size, null without any) of every row of ``docs``."""
-    lists = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    """doc_id, text, spans (array of start and size, null without any) of every row of ``docs``; rows that repeat share one list."""
+    lists = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     return _keyed(docs).alias("d").join(lists.alias("s"), _same_document("d", "s"), "left").select("d.doc_id", "d.text", "s.spans")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingloom.llm import text as tx
-from ratingloom.llm.quality_cnn import chosen, scored, single_labels
+from ratingloom.llm.quality_cnn import chosen, sampled_texts, scored, single_labels
 
 DECAY, SPAN = 0.8, 6
 #: Units are looked at through windows of this many bytes, half a window apart.
@@ -339,7 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (3, 1), n_
     known = single_labels(labels.filter("toxic IN (0, 1)"), "toxic", fold)
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = chosen(known.filter("y = 1"), "toxic", n_toxic).unionByName(chosen(known.filter("y = 0"), "toxic", n_clean))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id").mapInArrow(
+    rows = sampled_texts(docs, sample).mapInArrow(
         cut, "doc_id long, y int, units binary").toPandas().sort_values(["doc_id", "y", "units"])
     toxic = rows["y"].to_numpy() == 1
     texts = [set(bytes(u).split(b"\n")) - {b""} for u in rows["units"]]
