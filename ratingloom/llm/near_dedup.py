@@ -173,10 +173,10 @@ def _left_over_pairs(rows: DataFrame, sets: DataFrame, share: tuple[int, int]) -
     held = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE)
     rare = elements.join(held, "element")
     sizes = sets.select("node", F.floor(F.length("elements") / 8).alias("size")).groupBy("node").agg(
-        F.min("size").alias("size"), F.max("size").alias("largest"))
+        F.min("size").alias("size"), F.count(F.lit(1)).alias("texts"))
     per = rare.groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
     # an id with several texts is not pruned
-    common = F.when(F.col("size") == F.col("largest"), F.col("size") - F.coalesce("rare", F.lit(0))).otherwise(2 ** 40)
+    common = F.when(F.col("texts") == 1, F.col("size") - F.coalesce("rare", F.lit(0))).otherwise(2 ** 40)
     state = durable(state.join(sizes, "node").join(per, "node", "left").select(
         "node", "component", "size", common.alias("common")))
     most = F.floor(F.col("common") * (part + whole) / part) - F.col("size")
