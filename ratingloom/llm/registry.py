@@ -1,11 +1,11 @@
-"""Queries of the ten operators and the pipeline, with DuckDB statements where SQL can express them."""
+"""Queries of the training-data operators and the pipeline, with DuckDB statements where SQL can express them."""
 
 from __future__ import annotations
 
 from importlib import import_module
 
 _MODULES = ("chat", "quality_rules", "secret_scan", "near_dedup", "quality_cnn", "toxicity", "packing", "decontaminate", "suffix_repeats",
-            "phrase_automata")
+            "phrase_automata", "vector_codes")
 
 
 def _collect(what: str) -> dict:
