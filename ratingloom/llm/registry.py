@@ -5,7 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = ("chat", "quality_rules", "secret_scan", "near_dedup", "quality_cnn", "toxicity", "packing", "decontaminate", "suffix_repeats",
-            "phrase_automata", "vector_codes", "lexical_search")
+            "phrase_automata", "vector_codes", "lexical_search",
+            "lm_scoring")
 
 
 def _collect(what: str) -> dict:
