@@ -1,8 +1,7 @@
 """Hybrid scores: similar users, content, factors, quality, exploration; top-k and MMR lists.
 
-Content and factor scores are dense over users x items, so they are computed block by block:
-a block of users and a block of items meet in one task, which scores them with numpy and
-keeps only the best rows per user. What is shuffled is the packed blocks, never all pairs.
+Content and factor scores are dense over users x items, so they are computed block by block, for the
+pairs of a user and an item block that can hold one of the user's best items (see block_scores).
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import score
 from ..functions.skew import heavy_keys, lookup_join, running_sum, top_per_group
 from ..session import durable
+from . import block_scores as bs
 from .pairs import matched_pairs
 from .popularity import popularity_percentile
 
@@ -149,13 +149,6 @@ def profile_vectors(profiles: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 USERS_PER_BLOCK, ITEMS_PER_BLOCK = 512, 2048
-_ROW = "kind int, user_id bigint, item_id bigint, idx array<int>, val array<double>, vec array<double>, num double, low double, high double"
-
-
-def _pack(df: DataFrame, kind: int, **cols: Column) -> DataFrame:
-    types = [c.split(" ") for c in _ROW.split(", ")]
-    given = {"kind": F.lit(kind), **cols}
-    return df.select(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in types], "_ub", "_ib")
 
 
 class _Sparse:
@@ -172,64 +165,6 @@ class _Sparse:
         return np.add.reduceat(self.val * dense[self.idx], self.starts)
 
 
-def _scorer(blend: Blend, width: int, keep: int, against_first: bool):
-    """Task function for one (user block, item block): best ``keep`` unseen items per user."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kinds = {k: g for k, g in pdf.groupby("kind")}
-        empty = pdf.iloc[:0]
-        users, items = kinds.get(0, empty), kinds.get(1, empty).sort_values("item_id")
-        if users.empty or items.empty:
-            return pd.DataFrame({"user_id": [], "item_id": [], "score": [], "key": []})
-        ids = items["item_id"].to_numpy(np.int64)
-        block = _Sparse(items)
-        bonus = items["num"].to_numpy(float)
-        matrix = np.array(items["vec"].tolist()) if blend.gamma and items["vec"].notna().all() else None
-        liked = {u: g for u, g in kinds.get(2, empty).groupby("user_id")}
-        cf = {u: g for u, g in kinds.get(3, empty).groupby("user_id")}
-        seen = {u: g["item_id"].to_numpy(np.int64) for u, g in kinds.get(4, empty).groupby("user_id")}
-        first = {u: g for u, g in kinds.get(5, empty).groupby("user_id")}
-        dense = np.zeros(width)
-
-        def cosine(idx, val):
-            dense[idx] = val
-            out = block.dot(dense)
-            dense[idx] = 0.0
-            return out
-
-        out = []
-        for row in users.itertuples(index=False):
-            total = bonus.copy()
-            if row.idx is not None:
-                content = cosine(np.asarray(row.idx), np.asarray(row.val))
-                if row.user_id in liked:
-                    g = liked[row.user_id]
-                    content = content + blend.love * np.max([cosine(np.asarray(i), np.asarray(v)) for i, v in zip(g["idx"], g["val"])], axis=0)
-                total += blend.beta * content
-            if matrix is not None and row.vec is not None:
-                raw = matrix @ np.asarray(row.vec)
-                total += blend.gamma * (raw - row.low) / (row.high - row.low + 1e-8)
-            if row.user_id in cf:
-                g = cf[row.user_id]
-                total[np.searchsorted(ids, g["item_id"].to_numpy(np.int64))] += blend.alpha * g["num"].to_numpy(float)
-            total = np.floor(total * 1e9 + 0.5) / 1e9
-            key = total
-            open_ = np.ones(len(ids), bool)
-            if row.user_id in seen:
-                open_[np.searchsorted(ids, seen[row.user_id])] = False
-            if against_first:
-                if row.user_id not in first:
-                    continue
-                f = first[row.user_id].iloc[0]
-                key = 0.7 * total + 0.3 * (1.0 - cosine(np.asarray(f["idx"]), np.asarray(f["val"])))
-                open_ &= ids != int(f["item_id"])
-            at = np.flatnonzero(open_)
-            best = at[np.lexsort((ids[at], -key[at]))[:keep]]
-            out.append(pd.DataFrame({"user_id": row.user_id, "item_id": ids[best], "score": total[best], "key": key[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"user_id": [], "item_id": [], "score": [], "key": []})
-
-    return run
-
-
 def factor_ranges(user_factors: DataFrame, item_factors: DataFrame) -> DataFrame:
     """(id, low, high): smallest and largest factor product of each user over all items, by blocks."""
     n_ub = max(1, -(-user_factors.count() // USERS_PER_BLOCK))
@@ -252,54 +187,15 @@ def factor_ranges(user_factors: DataFrame, item_factors: DataFrame) -> DataFrame
         F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def _blocks(parts: HybridParts, blend: Blend, users: DataFrame, first: DataFrame | None = None) -> DataFrame:
-    """All rows a (user block, item block) task needs, keyed by _ub and _ib."""
-    n_ub = max(1, -(-users.count() // USERS_PER_BLOCK))
-    n_ib = max(1, -(-parts.vectors.count() // ITEMS_PER_BLOCK))
-    ub = F.pmod(F.xxhash64("user_id"), F.lit(n_ub)).cast("int")
-    ib = F.pmod(F.xxhash64("item_id"), F.lit(n_ib)).cast("int")
-    all_ib = F.explode(F.sequence(F.lit(0), F.lit(n_ib - 1)))
-    all_ub = F.explode(F.sequence(F.lit(0), F.lit(n_ub - 1)))
-    extra = F.lit(blend.quality) * F.col("quality") + (F.col("explore") if blend.explore else F.lit(0.0))
-    left = users.join(parts.profiles, "user_id", "left")
-    items = parts.vectors.join(parts.bonus, "item_id", "left").fillna(0.0, ["quality", "explore"])
-    u_cols, i_cols = {}, {}
-    if blend.gamma and parts.user_factors is not None:
-        ranges = factor_ranges(parts.user_factors, parts.item_factors)
-        left = left.join(parts.user_factors.join(ranges, "id").withColumnRenamed("id", "user_id"), "user_id", "left")
-        items = items.join(parts.item_factors.withColumnRenamed("id", "item_id"), "item_id", "left")
-        u_cols = {"vec": F.col("vec"), "low": F.col("low"), "high": F.col("high")}
-        i_cols = {"vec": F.col("vec")}
-
-    def pair_rows(df: DataFrame) -> DataFrame:
-        known = df.join(users, "user_id", "left_semi").join(parts.vectors.select("item_id"), "item_id", "left_semi")
-        return known.withColumn("_ub", ub).withColumn("_ib", ib)
-
-    loved = parts.loved.join(users, "user_id", "left_semi").join(parts.vectors, "item_id")
-    out = _pack(left.withColumn("_ub", ub).withColumn("_ib", all_ib), 0, user_id=F.col("user_id"), idx=F.col("idx"), val=F.col("val"), **u_cols)
-    out = out.unionByName(_pack(items.withColumn("_ib", ib).withColumn("_ub", all_ub), 1, item_id=F.col("item_id"),
-                                idx=F.col("idx"), val=F.col("val"), num=extra, **i_cols))
-    out = out.unionByName(_pack(loved.withColumn("_ub", ub).withColumn("_ib", all_ib), 2, user_id=F.col("user_id"), idx=F.col("idx"), val=F.col("val")))
-    out = out.unionByName(_pack(pair_rows(parts.cf), 3, user_id=F.col("user_id"), item_id=F.col("item_id"), num=F.col("cf")))
-    out = out.unionByName(_pack(pair_rows(parts.seen), 4, user_id=F.col("user_id"), item_id=F.col("item_id")))
-    if first is not None:
-        lead = first.select("user_id", "item_id").join(parts.vectors, "item_id")
-        out = out.unionByName(_pack(lead.withColumn("_ub", ub).withColumn("_ib", all_ib), 5, user_id=F.col("user_id"),
-                                    item_id=F.col("item_id"), idx=F.col("idx"), val=F.col("val")))
-    return out
-
-
-_FOUND = "user_id bigint, item_id bigint, score double, key double"
+def _blocks(parts: HybridParts, blend: Blend, users: DataFrame) -> bs.Blocks:
+    factors = blend.gamma and parts.user_factors is not None
+    ranges = factor_ranges(parts.user_factors, parts.item_factors) if factors else None
+    return bs.build_blocks(parts, users, blend, USERS_PER_BLOCK, ITEMS_PER_BLOCK, ranges)
 
 
 def hybrid_topk(parts: HybridParts, users: DataFrame, k: int = 5, blend: Blend = Blend()) -> DataFrame:
-    """(user_id, item_id, score, rank): the k best unseen items per user; ties by item id.
-
-    Each block task keeps k rows per user, which is exact because the final k are among them.
-    """
-    found = _blocks(parts, blend, users).groupBy("_ub", "_ib").applyInPandas(
-        _scorer(blend, parts.width, k, False), _FOUND)
-    return top_per_group(found, "user_id", [F.desc("score"), F.asc("item_id")], k).drop("key")
+    """(user_id, item_id, score, rank): the k best unseen items per user; ties by item id. Exact, see block_scores."""
+    return bs.best_items(_blocks(parts, blend, users), blend, k).drop("key")
 
 
 def _greedy(k: int, kept: int, width: int):
@@ -337,20 +233,20 @@ def mmr_rerank(parts: HybridParts, users: DataFrame, k: int = 10, blend: Blend =
     """(user_id, item_id, score, rank): greedy list, first the best score, then the largest
     0.7 score + 0.3 (1 - max cosine to the chosen ones).
 
-    Two block passes: one finds every user's first item, one keeps the ``keep`` rows with the
+    Two passes over the blocks: one finds every user's first item, one keeps the ``keep`` rows with the
     largest value against it. That value bounds a row from above in all later steps, so the
     greedy over the kept rows is exact while its choices stay above the smallest kept value.
     Users where they do not are repeated with four times as many rows, up to all items.
     """
     n_items = parts.vectors.count()
-    first = durable(hybrid_topk(parts, users, 1, blend))
+    blocks = _blocks(parts, blend, users)
+    first = durable(bs.best_items(blocks, blend, 1).drop("key"))
     vectors = parts.vectors
     todo, done = users, None
     while True:
         keep = min(keep, n_items)
         lead = first.join(todo, "user_id", "left_semi")
-        found = _blocks(parts, blend, todo, lead).groupBy("_ub", "_ib").applyInPandas(_scorer(blend, parts.width, keep, True), _FOUND)
-        kept = top_per_group(found, "user_id", [F.desc("key"), F.asc("item_id")], keep).select(
+        kept = bs.best_items(blocks, blend, keep, todo, lead).select(
             "user_id", "item_id", "score", "key", F.lit(False).alias("is_first"))
         rows = kept.unionByName(lead.select("user_id", "item_id", "score", F.lit(0.0).alias("key"), F.lit(True).alias("is_first")))
         full = keep if keep < n_items else n_items + 1
