@@ -142,7 +142,7 @@ _BOUND = "user_id bigint, ub bigint, ib bigint, bound double"
 
 def _bounder(blend, first: bool, best: int | None):
     """Task function for a user block and a group of summaries: the ``best`` blocks per user, or all that reach its num."""
-    def run(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kinds = _frames(pdf)
         none = pd.DataFrame({"user_id": [], "ub": [], "ib": [], "bound": []})
         if _USER not in kinds or _ITEM not in kinds:

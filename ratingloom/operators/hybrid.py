@@ -139,13 +139,64 @@ class HybridParts:
     item_factors: DataFrame | None = None
 
 
-def profile_vectors(profiles: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(user_id, idx, val) unit vectors of the profiles under a feature numbering."""
-    rows = profiles.join(numbers, "feature")
-    norms = rows.groupBy("user_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    rows = lookup_join(rows, norms, "user_id", "inner").filter("norm > 0")
-    packed = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("f", (F.col("value") / F.col("norm")).alias("u")))).alias("e"))
-    return packed.select("user_id", F.transform("e", lambda x: x["f"].cast("int")).alias("idx"), F.transform("e", lambda x: x["u"]).alias("val"))
+#: Pairs of a user and an item that a task adds up; a user with more than SEGMENT items is dealt over several tasks.
+PAIRS, SEGMENT = 16_384, 2048
+_PACKED = "user_id bigint, whole boolean, idx array<int>, val array<double>"
+
+
+def _added(pairs: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+    """Weighted sums of packed item vectors for the users of one group, some users at a time."""
+    none = pd.DataFrame({"user_id": [], "whole": [], "idx": [], "val": []})
+    if pairs.empty or vectors.empty:
+        return none
+    pairs = pairs[pairs["item_id"].isin(vectors["item_id"])].sort_values(["user_id", "item_id"])
+    table = bs.Sparse(vectors["idx"], vectors["val"])
+    names, column = np.unique(table.idx, return_inverse=True)
+    users, row = np.unique(pairs["user_id"].to_numpy(np.int64), return_inverse=True)
+    place = {i: n for n, i in enumerate(vectors["item_id"])}
+    item = np.array([place[i] for i in pairs["item_id"]], np.int64)
+    weight = pairs["w"].to_numpy(float) * vectors["norm"].to_numpy(float)[item]
+    whole = dict(zip(pairs["user_id"], pairs["whole"]))
+    step, out = max(1, bs.CELLS // max(len(names), 1)), []
+    for lo in range(0, len(users), step):
+        some = slice(*np.searchsorted(row, [lo, lo + step]))
+        total = np.zeros((min(step, len(users) - lo), len(names)))
+        for a in range(some.start, some.stop, max(1, 16 * step)):
+            part = slice(a, min(a + max(1, 16 * step), some.stop))
+            sizes = table.sizes[item[part]]
+            at = np.repeat(table.ends[item[part]] - sizes - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            cell = np.repeat((row[part] - lo) * len(names), sizes) + column[at]
+            total += np.bincount(cell, np.repeat(weight[part], sizes) * table.val[at], total.size).reshape(total.shape)
+        for n, user in enumerate(users[lo:lo + step]):
+            used = np.flatnonzero(total[n])
+            out.append((user, whole[user], names[used], total[n, used]))
+    return pd.DataFrame(out, columns=list(none.columns)) if out else none
+
+
+def unit_profiles(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(user_id, idx, val): the content profiles (see content_profiles) as unit vectors; users with nothing in it have none.
+
+    ``vectors`` (item_id, idx, val, norm) are packed, so a pair of a user and an item is one row in every shuffle, not a
+    row per feature. A group has some users' pairs and one copy of each vector that they need.
+    """
+    share = F.col("rating") / 5.0
+    held = last_ratings(rows).withColumn("_w", F.when(F.col("rating") >= 4, share * share).otherwise(share))
+    held = durable(held.select("user_id", "item_id", "_w"))
+    per_user = held.groupBy("user_id").agg(F.sum("_w").alias("_t"), F.count(F.lit(1)).alias("_n"))
+    groups = max(1, -(-held.count() // PAIRS))
+    parts = F.ceil(F.col("_n") / SEGMENT)
+    pairs = durable(lookup_join(held, per_user, "user_id", "inner", heavy_keys(rows, "user_id")).select(
+        "user_id", "item_id", (F.col("_w") / (F.col("_t") + F.lit(1e-8))).alias("w"), (parts <= 1).alias("whole"),
+        F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("g"), F.pmod(F.xxhash64("item_id"), parts).alias("s")))
+    needed = durable(pairs.select("g", "s", "item_id").distinct().join(vectors.select("item_id", "idx", "val", "norm"), "item_id"))
+    sums = durable(pairs.groupBy("g", "s").cogroup(needed.groupBy("g", "s")).applyInPandas(_added, _PACKED))
+    entry = F.explode(F.arrays_zip("idx", "val")).alias("e")
+    joint = sums.filter("NOT whole").select("user_id", entry).groupBy("user_id", F.col("e.idx").alias("f")).agg(F.sum("e.val").alias("v"))
+    joint = joint.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("e")).select(
+        "user_id", F.col("e.f").cast("array<int>").alias("idx"), F.col("e.v").alias("val"))
+    every = sums.filter("whole").select("user_id", "idx", "val").unionByName(joint)
+    norm = F.sqrt(F.aggregate("val", F.lit(0.0), lambda s, x: s + x * x))
+    return every.withColumn("_n", norm).filter("_n > 0").select("user_id", "idx", F.transform("val", lambda x: x / F.col("_n")).alias("val"))
 
 
 USERS_PER_BLOCK, ITEMS_PER_BLOCK = 512, 2048

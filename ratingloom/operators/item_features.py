@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.skew import _lowest, dense_index, heavy_keys, lookup_join, number_in_group
 from ..functions.text import grams, term_list
+from ..session import durable
 from .cleaning import size_percentile
 
 # Words appended to an item's text, with the number of repeats.
@@ -85,7 +86,7 @@ def item_terms(rows: DataFrame, keywords: DataFrame, longest: int = 4, item: str
 def vocabulary(terms: DataFrame, n_docs: Column, max_features: int = 50_000, max_df: float = 0.95) -> DataFrame:
     """(term, df, total): terms in at most max_df of the documents, the max_features most frequent; ties by term."""
     stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    common = stats.filter(F.col("df") <= F.lit(float(max_df)) * n_docs)
+    common = durable(stats.filter(F.col("df") <= F.lit(float(max_df)) * n_docs))  # read several times below
     return _lowest(common, max_features, ["term"], -F.col("total"))
 
 
@@ -136,12 +137,12 @@ def item_features(rows: DataFrame, item: str = "item_id", max_features: int = 50
     """All item features from review rows with text, rating, helpfulness, verified and user_expertise."""
     aggregates = item_aggregates(rows, item)
     n_items = aggregates.select(F.count(F.lit(1))).scalar()
-    terms = item_terms(rows, item_keywords(aggregates, rows, item), longest, item)
+    terms = durable(item_terms(rows, item_keywords(aggregates, rows, item), longest, item))
     return combined_features(tfidf(terms, item, n_items, max_features), scaled(metadata_features(aggregates, item)), item)
 
 
 def feature_vectors(features: DataFrame, item: str = "item_id") -> tuple[DataFrame, DataFrame]:
-    """((item, idx, val) unit vectors with ascending integer features, (feature, f) numbering).
+    """((item, idx, val, norm) unit vectors with ascending integer features, (feature, f) numbering).
 
     A vector has at most max_features + 12 entries.
     """
@@ -149,6 +150,6 @@ def feature_vectors(features: DataFrame, item: str = "item_id") -> tuple[DataFra
     norms = features.groupBy(item).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     rows = lookup_join(features.join(numbers, "feature"), norms, item, "inner")
     entries = F.array_sort(F.collect_list(F.struct("f", (F.col("value") / F.col("norm")).alias("u"))))
-    vectors = rows.filter("norm > 0").groupBy(item).agg(entries.alias("e"))
+    vectors = rows.filter("norm > 0").groupBy(item).agg(entries.alias("e"), F.first("norm").alias("norm"))
     return vectors.select(item, F.transform("e", lambda x: x["f"].cast("int")).alias("idx"),
-                          F.transform("e", lambda x: x["u"]).alias("val")), numbers
+                          F.transform("e", lambda x: x["u"]).alias("val"), "norm"), numbers

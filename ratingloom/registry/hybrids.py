@@ -56,10 +56,10 @@ def _content_parts(rows):
     """Only the content parts; the other tables are empty."""
     features = durable(itf.item_features(rows))
     vectors, numbers = itf.feature_vectors(features)
-    numbers = durable(numbers)
+    numbers, vectors = durable(numbers), durable(vectors)
     pairs = rows.select("user_id", "item_id")
     return hy.HybridParts(
-        profiles=durable(hy.profile_vectors(hy.content_profiles(rows, features), numbers)), vectors=durable(vectors),
+        profiles=durable(hy.unit_profiles(rows, vectors)), vectors=vectors,
         loved=rows.filter("rating >= 4.5").select("user_id", "item_id").distinct(), seen=durable(pairs.distinct()),
         cf=pairs.filter("false").withColumn("cf", F.lit(0.0)),
         bonus=pairs.filter("false").select("item_id", F.lit(0.0).alias("quality"), F.lit(0.0).alias("explore")), width=numbers.count())
