@@ -141,12 +141,12 @@ class HybridParts:
 
 #: Pairs of a user and an item that a task adds up; a user with more than SEGMENT items is dealt over several tasks.
 PAIRS, SEGMENT = 16_384, 2048
-_PACKED = "user_id bigint, whole boolean, idx array<int>, val array<double>"
+_PACKED = "user_id bigint, whole boolean, idx array<int>, val array<double>, norm double"
 
 
 def _added(pairs: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
     """Weighted sums of packed item vectors for the users of one group, some users at a time."""
-    none = pd.DataFrame({"user_id": [], "whole": [], "idx": [], "val": []})
+    none = pd.DataFrame({"user_id": [], "whole": [], "idx": [], "val": [], "norm": []})
     if pairs.empty or vectors.empty:
         return none
     pairs = pairs[pairs["item_id"].isin(vectors["item_id"])].sort_values(["user_id", "item_id"])
@@ -169,7 +169,7 @@ def _added(pairs: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
             total += np.bincount(cell, np.repeat(weight[part], sizes) * table.val[at], total.size).reshape(total.shape)
         for n, user in enumerate(users[lo:lo + step]):
             used = np.flatnonzero(total[n])
-            out.append((user, whole[user], names[used], total[n, used]))
+            out.append((user, whole[user], names[used], total[n, used], np.linalg.norm(total[n])))
     return pd.DataFrame(out, columns=list(none.columns)) if out else none
 
 
@@ -192,11 +192,11 @@ def unit_profiles(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     sums = durable(pairs.groupBy("g", "s").cogroup(needed.groupBy("g", "s")).applyInPandas(_added, _PACKED))
     entry = F.explode(F.arrays_zip("idx", "val")).alias("e")
     joint = sums.filter("NOT whole").select("user_id", entry).groupBy("user_id", F.col("e.idx").alias("f")).agg(F.sum("e.val").alias("v"))
-    joint = joint.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("e")).select(
-        "user_id", F.col("e.f").cast("array<int>").alias("idx"), F.col("e.v").alias("val"))
-    every = sums.filter("whole").select("user_id", "idx", "val").unionByName(joint)
-    norm = F.sqrt(F.aggregate("val", F.lit(0.0), lambda s, x: s + x * x))
-    return every.withColumn("_n", norm).filter("_n > 0").select("user_id", "idx", F.transform("val", lambda x: x / F.col("_n")).alias("val"))
+    joint = joint.groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("f", "v"))).alias("e"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")).select(
+        "user_id", F.col("e.f").cast("array<int>").alias("idx"), F.col("e.v").alias("val"), "norm")
+    every = sums.filter("whole").select("user_id", "idx", "val", "norm").unionByName(joint)
+    return every.filter("norm > 0").select("user_id", "idx", F.transform("val", lambda x: x / F.col("norm")).alias("val"))
 
 
 USERS_PER_BLOCK, ITEMS_PER_BLOCK = 512, 2048
