@@ -382,14 +382,22 @@ _DIGEST = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, lo
 def _messages(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     for batch in batches:
         for conv, role, text in zip(batch["conv_id"], batch["role"], batch["text"]):
-            yield (None if pd.isna(conv) else int(conv)), {"role": role or "", "text": text or ""}
+            yield (None if conv is None else int(conv)), {"role": role or "", "text": text or ""}
 
 
 def _in_order(conversations: DataFrame) -> DataFrame:
-    """The turns of a conversation side by side; rows are streamed, so its length is not bounded."""
+    """The turns of a conversation side by side; rows are streamed, so its length is not bounded.
+
+    Ids go to Python as text: a long column with a null would arrive there as doubles.
+    """
     rows = conversations.select("conv_id", "turn", "role", "text")
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select(
-        F.col("conv_id").cast("long"), "role", "text")
+        F.col("conv_id").cast("long").cast("string").alias("conv_id"), "role", "text")
+
+
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    ids = pd.array([r["conv_id"] for r in rows], "Int64")
+    return pd.DataFrame({"conv_id": ids} | {k: [r[k] for r in rows] for k in rows[0] if k != "conv_id"})
 
 
 def format_conversations(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
@@ -406,13 +414,13 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
             at = part = 0
             for fragment, block in render(m for _, m in rows):
                 if fragment:
-                    out.append((conv, part, fragment, block > 0, at))
+                    out.append({"conv_id": conv, "part": part, "text": fragment, "in_loss": block > 0, "start": at})
                     at, part = at + len(fragment), part + 1
                 if len(out) >= 1000:
-                    yield pd.DataFrame(out, columns=["conv_id", "part", "text", "in_loss", "start"])
+                    yield _frame(out)
                     out = []
         if out:
-            yield pd.DataFrame(out, columns=["conv_id", "part", "text", "in_loss", "start"])
+            yield _frame(out)
     return _in_order(conversations).mapInPandas(
         run, "conv_id long, part long, text string, in_loss boolean, start long")
 
@@ -428,10 +436,10 @@ def conversation_digests(conversations: DataFrame, template: str = TEMPLATE) ->
                 reader.feed(fragment, block)
             out.append({"conv_id": conv, **reader.result()})
             if len(out) >= 1000:
-                yield pd.DataFrame(out).astype({"conv_id": "Int64"})
+                yield _frame(out)
                 out = []
         if out:
-            yield pd.DataFrame(out).astype({"conv_id": "Int64"})
+            yield _frame(out)
     return _in_order(conversations).mapInPandas(run, _DIGEST)
 
 

@@ -66,3 +66,10 @@ def test_language():
 def test_constants_are_folded():
     tree = chat.fold(chat.parse('a{{ "b" ~ 1 }}{% if 1 == 1 %}c{% else %}{{ x }}{% endif %}{% if not true %}d{% endif %}e'))
     assert tree == ("block", [("const", "ab1ce")])
+
+
+def test_large_ids_beside_a_missing_one(spark):
+    rows = [(2**53, 0, "user", "a"), (2**53 + 1, 0, "user", "b"), (None, 0, "user", "c"), (2**53 + 1, 1, "assistant", "d")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(1)
+    assert {r.conv_id: r.n_turns for r in chat.conversation_digests(df).collect()} == {2**53: 1, 2**53 + 1: 2, None: 1}
+    assert {r.conv_id for r in chat.format_conversations(df).collect()} == {2**53, 2**53 + 1, None}
