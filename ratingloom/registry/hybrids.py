@@ -12,12 +12,13 @@ from ..operators import ranking_metrics as rm
 from ..operators.splits import temporal_split
 from ..operators.weights import activity_normalised, with_expertise
 from ..plans import hybrid as plan
+from ..plans import review_job
 from ..session import durable
 from ..sources.tables import event_interactions, review_rows, table
 from .evaluation import _lists, hits_sql
 from .collab_sql import model_sql, recommend_sql
 from .sql import EVENTS, INTER, LINES, train_test
-from .texts import EXPERT, features_sql
+from .texts import EXPERT, PART_LEMMAS, PART_LEXICON, features_sql, prepared_sql
 
 
 def _event_matrix(spark, d):
@@ -103,6 +104,21 @@ def _mmr_reviews(spark, d):
     return plan.recommend_hybrid(plan.build_parts(rows), rows, rows.select("user_id").distinct(), 10, hy.Blend(gamma=0.0))
 
 
+def _from_lines(spark, d):
+    """Hybrid lists from JSON text with ids like A12X; a part's name is the review, its type the summary."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), "p_name", "p_type")
+    rows = review_rows(spark, d).join(parts, "item_id")
+    value = F.to_json(F.struct(
+        F.concat(F.lit("A"), "user_id", F.lit("X")).alias("reviewerID"), F.concat(F.lit("B"), "item_id", F.lit("Z")).alias("asin"),
+        F.col("rating").alias("overall"), F.col("p_name").alias("reviewText"), F.col("p_type").alias("summary"),
+        F.col("helpful"), F.col("verified"), F.col("ts").alias("unixReviewTime")))
+    lines = rows.select(value.alias("value"), F.struct("ts", "row_key").alias("seq"), "row_key")
+    lexicon = spark.createDataFrame(list(PART_LEXICON.items()), "word string, valence double")
+    lemmas = spark.createDataFrame(list(PART_LEMMAS.items()), "form string, lemma string")
+    out = review_job.recommend_reviews(lines, 5, hy.Blend(gamma=0.0), lexicon, lemmas)
+    return out.withColumn("score", shown("score"))
+
+
 def _long(factors, side):
     return factors.select(F.lit(side).alias("side"), "id", "vec")
 
@@ -153,6 +169,7 @@ QUERIES = {
     "hybrid_topk": _hybrid(5, False),
     "mmr_rerank": _mmr,
     "recommend_hybrid": _mmr_reviews,
+    "hybrid_from_lines": _from_lines,
     "svd_factors": _svd,
     "nmf_factors": _nmf,
     "mf_factors": _mf,
@@ -176,6 +193,13 @@ nn AS (SELECT * FROM ucos WHERE sim > 0.5
 cf AS (SELECT n.user_id, m.item_id, sum((exp(2 * sim) - 1) * m.w) / any_value(t) AS cf FROM nn n JOIN matrix m ON m.user_id = n.neighbor
   JOIN (SELECT user_id, sum(exp(2 * sim) - 1) AS t FROM nn GROUP BY 1) s ON s.user_id = n.user_id GROUP BY 1, 2)"""
 
+_LINE_EXPERT = LINES + f""",
+{prepared_sql(PART_LEMMAS)},
+helped AS (SELECT 'A' || user_id || 'X' AS user_id, 'B' || item_id || 'Z' AS item_id, rating, text, ts, row_key, verified,
+  CASE WHEN votes > 0 THEN CAST(least(ups, votes) AS DOUBLE) / votes ELSE 0.5 END AS helpfulness
+  FROM lines JOIN prepared ON p_partkey = item_id),
+expert AS (SELECT *, avg(helpfulness) OVER (PARTITION BY user_id) AS user_expertise FROM helped)"""
+
 _SIGNAL = """(rating / 5.0) * sqrt(1 + 0.5 * CAST(ts - (SELECT min(ts) FROM expert) AS DOUBLE)
    / ((SELECT max(ts) FROM expert) - (SELECT min(ts) FROM expert) + 1)) * (1 + CAST(0.3 AS DOUBLE) * helpfulness)
    * (1 + CAST(0.2 AS DOUBLE) * CAST(verified AS INTEGER)) * (1 + CAST(0.2 AS DOUBLE) * user_expertise)"""
@@ -213,9 +237,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, ite
 SELECT user_id, item_id, round(score + 1e-10, 6) AS score, rank FROM r"""
 
 
-def _scores_sql(explore: bool) -> str:
+def _scores_sql(explore: bool, expert: str = _EVENT_EXPERT) -> str:
     """CTE s(user_id, item_id, score) of all unseen items, without the factor part."""
-    return f"""WITH {_EVENT_EXPERT}, {features_sql()},
+    return f"""WITH {expert}, {features_sql()},
 {_PROFILE},
 {_CONTENT},
 {_BONUS},
@@ -229,8 +253,8 @@ s AS (SELECT c.user_id, c.item_id, round(CAST(0.2 AS DOUBLE) * quality {'+ explo
   WHERE NOT EXISTS (SELECT 1 FROM expert e WHERE e.user_id = c.user_id AND e.item_id = c.item_id))"""
 
 
-def _hybrid_sql(k: int, explore: bool) -> str:
-    return f"""{_scores_sql(explore)},
+def _hybrid_sql(k: int, explore: bool, expert: str = _EVENT_EXPERT) -> str:
+    return f"""{_scores_sql(explore, expert)},
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= {k})
 SELECT user_id, item_id, round(score + 1e-10, 6) AS score, rank FROM r"""
 
@@ -266,6 +290,7 @@ SELECT vec_id, neighbor, round(sim + 1e-10, 6) AS sim, rank FROM r""",
     "hybrid_scores": _hybrid_sql(10, True),
     "hybrid_topk": _hybrid_sql(5, False),
     "mmr_rerank": _mmr_sql(10),
+    "hybrid_from_lines": _hybrid_sql(5, False, _LINE_EXPERT),
     "eval_diversity": f"""WITH {EXPERT.replace(LINES, INTER)},
 {features_sql()},
 {train_test()},
