@@ -138,6 +138,25 @@ def _mf(spark, d):
     return _long(u, "user").unionByName(_long(v, "item"))
 
 
+def _factor_checks(spark, d):
+    """What SQL can know of the factors: ids, widths, signs, orthonormal directions, errors against the matrix's energy."""
+    cells = _event_matrix(spark, d)
+    energy = cells.agg(F.sum(F.col("w") * F.col("w"))).first()[0]
+    out = None
+    for name, (left, right), unsigned in (("svd", fac.svd(cells), False), ("nmf", fac.nmf(cells), True)):
+        error = fac.squared_error(cells, left, right)
+        gram = fac._gram(right)
+        unit = all(abs(x - (i == j and x > 0.5)) < 1e-6 for i, row in enumerate(gram) for j, x in enumerate(row))
+        for side, rows in (("user", left), ("item", right)):
+            kind = F.when(F.forall("vec", lambda x: x >= 0), "non-negative") if unsigned else F.lit(
+                "any" if side == "user" else "orthonormal" if unit else "skew")
+            part = rows.select(
+                F.lit(name).alias("method"), F.lit(side).alias("side"), F.col("id").cast("bigint").alias("id"),
+                F.size("vec").alias("width"), kind.alias("kind"), F.lit(0 <= error + 1e-9 < energy / 2).alias("explains"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _score_mf(spark, d):
     rows = _event_reviews(spark, d)
     parts = plan.build_parts(rows, 100)
@@ -173,6 +192,7 @@ QUERIES = {
     "svd_factors": _svd,
     "nmf_factors": _nmf,
     "mf_factors": _mf,
+    "factor_checks": _factor_checks,
     "score_mf": _score_mf,
     "sweep_hybrid": _sweep,
     "eval_diversity": _diversity,
@@ -291,6 +311,11 @@ SELECT vec_id, neighbor, round(sim + 1e-10, 6) AS sim, rank FROM r""",
     "hybrid_topk": _hybrid_sql(5, False),
     "mmr_rerank": _mmr_sql(10),
     "hybrid_from_lines": _hybrid_sql(5, False, _LINE_EXPERT),
+    "factor_checks": f"""WITH {EVENTS}, ids AS (
+  SELECT DISTINCT 'user' AS side, user_id AS id FROM ev UNION ALL SELECT DISTINCT 'item', item_id FROM ev)
+SELECT method, side, id, CAST(width AS INTEGER) AS width,
+  CASE WHEN method = 'nmf' THEN 'non-negative' WHEN side = 'item' THEN 'orthonormal' ELSE 'any' END AS kind, true AS explains
+FROM ids, (VALUES ('svd', 100), ('nmf', 50)) m(method, width)""",
     "eval_diversity": f"""WITH {EXPERT.replace(LINES, INTER)},
 {features_sql()},
 {train_test()},
