@@ -62,6 +62,19 @@ def user_neighbors(matrix: DataFrame, k: int | None = None, min_cosine: float =
     return top_per_group(both.select("d.*", "sim"), "user_id", [F.desc("sim"), F.asc("neighbor")], k - 1).drop("rank")
 
 
+def feature_neighbors(features: DataFrame, k: int = 50, min_cosine: float = 0.8) -> DataFrame:
+    """(item_id, neighbor, sim, rank): the up to k other items with the largest cosine of their sparse features, above
+    ``min_cosine``; ties by item.
+
+    ``features`` is (item_id, feature, value). The prefix filter of user_neighbors: an item's commonest features, such as
+    metadata that every item has, are set aside while their norm stays at min_cosine or less, so items meet only through the
+    rarer ones. The default leaves room for all metadata of item_features; the lower the bound, the more pairs meet.
+    """
+    rows = features.select(F.col("item_id").alias("user_id"), F.col("feature").alias("item_id"), F.col("value").alias("w"))
+    near = user_neighbors(rows.filter("w <> 0"), k + 1, min_cosine).withColumnRenamed("user_id", "item_id")
+    return top_per_group(near, "item_id", [F.desc("sim"), F.asc("neighbor")], k)
+
+
 def neighbor_scores(neighbors: DataFrame, matrix: DataFrame) -> DataFrame:
     """(user_id, item_id, cf): mean of the neighbours' rows weighted by exp(2 sim) - 1."""
     weighted = neighbors.withColumn("_e", F.exp(2 * F.col("sim")) - 1)

@@ -48,6 +48,11 @@ def _knn_vectors(spark, d):
     return out.withColumn("sim", shown("sim"))
 
 
+def _knn_features(spark, d):
+    rows = durable(with_expertise(review_rows(spark, d)))
+    return hy.feature_neighbors(durable(itf.item_features(rows))).withColumn("sim", shown("sim"))
+
+
 def _profile(spark, d):
     rows = durable(with_expertise(review_rows(spark, d)))
     return hy.content_profiles(rows, durable(itf.item_features(rows))).withColumn("value", shown("value"))
@@ -179,6 +184,7 @@ QUERIES = {
     "user_knn": _user_knn,
     "score_user_knn": _score_user_knn,
     "item_content_knn": _knn_vectors,
+    "item_feature_knn": _knn_features,
     "content_profile": _profile,
     "score_content": _content_list(0.0),
     "score_loved": _content_list(0.3),
@@ -302,6 +308,13 @@ ORACLES = {
 s AS (SELECT a.vec_id, b.vec_id AS neighbor, round(list_cosine_similarity(a.e, b.e), 9) AS sim FROM v a, v b WHERE a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbor) AS rank FROM s QUALIFY rank <= 50)
 SELECT vec_id, neighbor, round(sim + 1e-10, 6) AS sim, rank FROM r""",
+    "item_feature_knn": f"""WITH {EXPERT}, {features_sql()},
+fn AS (SELECT item_id, sqrt(sum(value * value)) AS n FROM feats GROUP BY 1),
+s AS (SELECT a.item_id, b.item_id AS neighbor, round(sum(a.value * b.value) / (any_value(x.n) * any_value(y.n)), 9) AS sim
+  FROM feats a JOIN feats b ON a.feature = b.feature AND a.item_id <> b.item_id JOIN fn x ON x.item_id = a.item_id
+  JOIN fn y ON y.item_id = b.item_id GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, neighbor) AS rank FROM s WHERE sim > 0.8 QUALIFY rank <= 50)
+SELECT item_id, neighbor, round(sim + 1e-10, 6) AS sim, rank FROM r""",
     "content_profile": f"WITH {EXPERT}, {features_sql()}, {_PROFILE} SELECT user_id, feature, round(value + 1e-10, 6) AS value FROM profile",
     "score_content": _content_sql("0"),
     "score_loved": _content_sql("0.3"),
