@@ -12,7 +12,7 @@ from ..operators import similarity as sims
 from ..operators.splits import flag_stratified, split
 from ..operators.weights import interaction_weight, item_idf, user_item_cells
 from ..session import durable
-from ..sources.tables import event_interactions, interactions
+from ..sources.tables import event_interactions, interactions, table
 from .collab_sql import (backfill_sql, candidates_sql, cells_sql, fallback_sql, history_sql, model_sql, pairs_sql,
                          popularity_sql, recommend_sql, sim_sql)
 from .sql import EVENTS, INTER, train_test
@@ -95,12 +95,12 @@ def recommend_cf(spark, d):
 
 
 def _recommend_fallback(spark, d):
-    """A threshold no similarity reaches, five-star rows as the history: users are served by
-    co-occurrence, those without such a row by the popular list."""
+    """A threshold that no similarity reaches: users are served by co-occurrence from their whole history, customers
+    without any by the popular list."""
     train, test = train_and_test(spark, d)
     strict = rec.fit(train, rec.Settings(min_similarity=1e6))
-    few = train.filter("rating = 5")
-    out = rec.recommend(strict, few, users=test.select("user_id").distinct())
+    customers = table(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("user_id"))
+    out = rec.recommend(strict, train, users=customers.unionByName(test.select("user_id")).distinct())
     return _recs(out)
 
 
@@ -194,8 +194,7 @@ SELECT user_id, item_id, round(1 - CAST(0.2 AS DOUBLE) * closeness + 1e-10, 6) A
 SELECT user_id, item_id, round(score + 1e-10, 6) AS score FROM extra_m""",
     "recommend_cf": f"{_TRAIN},\n{model_sql('m', 'train')},\n{recommend_sql('m', 'train')}\n{_RECS_OUT}",
     "recommend_fallback": f"""{_TRAIN},
-few AS (SELECT * FROM train WHERE rating = 5),
 {model_sql('m', 'train', min_sim=1e6)},
-{recommend_sql('m', 'few', users='(SELECT DISTINCT user_id FROM test)')}
+{recommend_sql('m', 'train', users='(SELECT CAST(c_custkey AS BIGINT) AS user_id FROM customer UNION SELECT user_id FROM test)')}
 {_RECS_OUT}""",
 }

@@ -56,9 +56,11 @@ def _recommend_ensemble(spark, d):
     return ib.ensemble(train, test).select("user_id", "item_id", shown("score").alias("score"), "rank")
 
 
-def _sweep(spark, d):
-    train, test = train_and_test(spark, d)
-    return ib.sweep(train, test, list(ib.SECOND_SWEEP), (5, 10)).withColumn("value", shown("value"))
+def _sweep(settings):
+    def run(spark, d):
+        train, test = train_and_test(spark, d)
+        return ib.sweep(train, test, list(settings)).withColumn("value", shown("value"))
+    return run
 
 
 def _split_stats(spark, d):
@@ -92,7 +94,8 @@ QUERIES = {
     "eval_time_to_good": _on_lists(lambda r, te, tr: rm.evaluate_cold_users(r, te, tr, 10, 25).select("time_to_first_good")),
     "eval_cold_items": _on_lists(lambda r, te, tr: rm.evaluate_cold_items(r, te, tr, 10, 25)),
     "eval_novelty": _on_lists(rm.evaluate_novelty),
-    "sweep_cf": _sweep,
+    "sweep_cf": _sweep(ib.SECOND_SWEEP),
+    "sweep_first": _sweep(ib.FIRST_SWEEP),
     "split_stats": _split_stats,
     "rating_error": _rating_error,
     "sample_recs": _sample_recs,
@@ -162,11 +165,11 @@ recs_ens AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DE
     return f"{_TRAIN},\n" + ",\n".join(parts)
 
 
-def _sweep_sql():
+def _sweep_sql(settings):
     parts, sels = [], []
-    for i, s in enumerate(ib.SECOND_SWEEP):
+    for i, s in enumerate(settings):
         tag = f"s{i}"
-        ctes, sel = eval_cf_sql(tag, (5, 10), s.popularity_weight)
+        ctes, sel = eval_cf_sql(tag, (5, 10, 20), s.popularity_weight)
         parts += [_tag_sql(tag, s), ctes]
         sels.append(f"SELECT {i} AS i, '{s.name}' AS config, * FROM ({sel})")
     return f"""{_TRAIN},
@@ -221,7 +224,8 @@ pop AS (SELECT item_id, count(*) AS c FROM train GROUP BY 1),
 nov AS (SELECT user_id, avg(-log2(coalesce(c, 1) / CAST((SELECT count(*) FROM train) AS DOUBLE))) AS v
   FROM flag_m LEFT JOIN pop USING (item_id) GROUP BY 1)
 SELECT round(avg(v) + 1e-10, 6) AS novelty FROM nov""",
-    "sweep_cf": _sweep_sql(),
+    "sweep_cf": _sweep_sql(ib.SECOND_SWEEP),
+    "sweep_first": _sweep_sql(ib.FIRST_SWEEP),
     "split_stats": f"""WITH {INTER},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, row_key) AS rn,
                   count(*) OVER (PARTITION BY user_id) AS cnt FROM inter),
