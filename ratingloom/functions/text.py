@@ -101,8 +101,34 @@ def sentiment_suffix(compound: Column, compat: bool = True) -> Column:
             .when(compound <= -0.5, block(2)).otherwise(F.lit("")))
 
 
-def lemmatised(rows: DataFrame, key: str, words: str, lemmas: DataFrame) -> DataFrame:
-    """Replace tokens by their lemma where the (form, lemma) table has one; order kept."""
+#: Bytes of a lemma table that is used in place; larger ones are joined.
+LEMMA_BYTES = 8 << 20
+
+
+def lemmatised(rows: DataFrame, key: str, words: str, lemmas: DataFrame, most: int = LEMMA_BYTES) -> DataFrame:
+    """(key, words): tokens replaced by their lemma where the (form, lemma) table has one; order kept.
+
+    A table of at most ``most`` bytes (measured) is dealt into buckets by the forms' hash and looked up token by token, without a
+    shuffle. With a larger one the tokens are joined: rows that share a key become one then, and rows without tokens
+    vanish. A form with several lemmas has the smallest one.
+    """
+    lemmas = lemmas.filter("form IS NOT NULL AND lemma IS NOT NULL").groupBy("form").agg(F.min("lemma").alias("lemma"))
+    size, n = lemmas.agg(F.sum(F.octet_length("form") + F.octet_length("lemma") + 32), F.count(F.lit(1))).first()
+    if not n:
+        return rows.select(key, words)
+    if size <= most:
+        buckets = max(1, n // 4)
+        filled = lemmas.groupBy(F.pmod(F.xxhash64("form"), F.lit(buckets)).alias("b")).agg(
+            F.collect_list(F.struct("form", "lemma")).alias("e"))
+        every = rows.sparkSession.range(buckets).withColumnRenamed("id", "b").join(filled, "b", "left")
+        none = F.array().cast("array<struct<form:string,lemma:string>>")
+        table = every.agg(F.array_sort(F.collect_list(F.struct("b", F.coalesce("e", none).alias("e")))).alias("t")).select(
+            F.transform("t", lambda x: x["e"])).scalar()
+
+        def lemma(word: Column) -> Column:
+            bucket = F.get(F.col("_table"), F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int"))
+            return F.coalesce(F.get(F.filter(bucket, lambda e: e["form"] == word), F.lit(0))["lemma"], word)
+        return rows.select(key, words).withColumn("_table", table).select(key, F.transform(words, lemma).alias(words))
     single = rows.select(key, F.posexplode(words).alias("pos", "form"))
     joined = single.join(lemmas, "form", "left")
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "form").alias("w"))))
@@ -119,6 +145,6 @@ def prepare(rows: DataFrame, key: str, text: str = "text", summary: str = "summa
     tagged = base.join(mood, key, "left").withColumn(
         "_w", tokens(cleaned(F.concat("_m", sentiment_suffix(F.coalesce("compound", F.lit(0.0)), compat)))))
     if lemmas is not None:
-        found = lemmatised(tagged, key, "_w", lemmas).withColumnRenamed("_w", "_l")
+        found = lemmatised(tagged, key, "_w", lemmas).withColumnRenamed("_w", "_l")  # a row per key
         tagged = tagged.join(found, key, "left").withColumn("_w", F.coalesce("_l", "_w")).drop("_l")
     return tagged.withColumn(out, F.array_join(F.concat("_w", trigger_bigrams(F.col("_w"))), " ")).drop("_m", "_w", "compound")
