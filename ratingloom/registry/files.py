@@ -69,6 +69,23 @@ def _read_interactions(spark, d):
     return reviews.parse_interactions(rows.select(value.alias("value"), "row_key")).drop("raw_data")
 
 
+def _read_array_files(spark, d):
+    """The records of read_interactions, written as JSON array files of at most 20000 elements and read by byte ranges."""
+    rows = row_numbered(interactions(spark, d))
+    text = F.when(F.col("user_id") % 2 == 0, _record(rows, alias=True)).otherwise(_record(rows))
+    named = F.concat(F.substring(text, 1, F.length(text) - 1), F.lit(',"note":"} ], {","row_key":"'), F.col("row_key"), F.lit('"}'))
+    files = rows.withColumn("_v", named).groupBy("part").agg(F.concat(
+        F.lit("["), F.array_join(F.collect_list("_v"), ",\n"), F.lit("]")).alias("value"))
+    folder = f"{run_folder(spark)}/arrays-{uuid.uuid4().hex}"
+    files.write.partitionBy("part").text(folder)
+    return reviews.read_interactions(spark, folder, "array").select(
+        F.col("raw_data")["row_key"].alias("row_key"), "user_id", "item_id", "rating", "ts")
+
+
+def row_numbered(rows):
+    return reviews.row_chunks(rows, 20_000, ORDER).withColumnRenamed("chunk_id", "part")
+
+
 def _count(spark, d):
     return reviews.count_records(_lines(spark, d))
 
@@ -90,6 +107,7 @@ QUERIES = {
     "load_reviews_head": _load_head,
     "load_hybrid": _load_hybrid,
     "read_interactions": _read_interactions,
+    "read_array_files": _read_array_files,
     "count_records": _count,
     "infer_fields": lambda s, d: reviews.infer_fields(_lines(s, d).filter(F.col("value").startswith("{") & F.col("value").endswith("}")), ORDER),
     "row_chunks": lambda s, d: reviews.row_chunks(interactions(s, d), 1000, ORDER).select("row_key", "chunk_id"),
@@ -120,6 +138,9 @@ SELECT row_key, CASE WHEN bad THEN 'unknown' ELSE CAST(user_id AS VARCHAR) END A
  CASE WHEN bad OR item_id % 11 = 0 THEN 'unknown' ELSE CAST(item_id AS VARCHAR) END AS item_id,
  CASE WHEN bad THEN 0.0 WHEN user_id % 13 = 0 THEN 1.0 ELSE rating END AS rating,
  CASE WHEN bad OR ts % 5 = 0 THEN 0 ELSE ts END AS ts FROM n""",
+    "read_array_files": f"""WITH {INTER}
+SELECT row_key, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN item_id % 11 = 0 THEN 'unknown' ELSE CAST(item_id AS VARCHAR) END AS item_id,
+ CASE WHEN user_id % 13 = 0 THEN 1.0 ELSE rating END AS rating, CASE WHEN ts % 5 = 0 THEN 0 ELSE ts END AS ts FROM inter""",
     "count_records": f"WITH {INTER} SELECT count(*) AS n_records FROM inter WHERE item_id % 19 <> 0",
     "infer_fields": f"""WITH {INTER},
 head AS (SELECT * FROM inter WHERE item_id % 19 <> 0 AND user_id % 7 <> 0 ORDER BY ts, row_key LIMIT 1),
