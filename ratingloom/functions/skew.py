@@ -2,8 +2,8 @@
 
 Every helper is exact. Keys are "heavy" from ``limits.heavy_rows`` rows on. The list of heavy keys
 is bounded by ``limits.heavy_keys``: any key beyond it holds less than 1/65536 of all rows. How many
-salts a key gets follows from the rows of the largest one, how many slices from the number of
-shuffle partitions, so both grow with the data.
+salts a key gets follows from its own rows, how many slices from the number of shuffle partitions, so
+both grow with the data.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from __future__ import annotations
 from collections import OrderedDict
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 
 @dataclass
 class Limits:
     heavy_rows: int = 200_000
     heavy_keys: int = 65_536
-    salts: int = 64  # at least
     slices: int = 1024  # at least
     segment_rows: int = 2048
 
@@ -28,11 +28,17 @@ limits = Limits()
 
 
 class Heavy(list):
-    """Heavy keys, and how many salts spread the largest of them into parts of heavy_rows rows."""
+    """Heavy keys with the number of parts, of heavy_rows rows, that each is spread over; ``kind``: their type."""
 
-    def __init__(self, keys: list, most: int):
-        super().__init__(keys)
-        self.salts = max(limits.salts, -(-most // limits.heavy_rows))
+    def __init__(self, rows: dict, kind: DataType):
+        super().__init__(rows)
+        self.salts = {k: max(-(-n // limits.heavy_rows), 2) for k, n in rows.items()}
+        self.kind = kind
+
+    def table(self, spark: SparkSession, key: str) -> DataFrame:
+        """(key, _salts), at most limits.heavy_keys rows."""
+        schema = StructType([StructField(key, self.kind), StructField("_salts", LongType())])
+        return spark.createDataFrame(list(self.salts.items()), schema)
 
 
 _known: OrderedDict[tuple, Heavy] = OrderedDict()
@@ -51,29 +57,29 @@ def heavy_keys(df: DataFrame, key: str) -> Heavy:
             .orderBy(F.desc("n"), "k").limit(limits.heavy_keys)
         )
         rows = top.collect()
-        _known[memo] = Heavy([r["k"] for r in rows], rows[0]["n"] if rows else 0)
+        _known[memo] = Heavy({r["k"]: r["n"] for r in rows}, top.schema["k"].dataType)
         if len(_known) > 256:
             _known.popitem(last=False)
     return _known[memo]
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left",
-                heavy: list | None = None) -> DataFrame:
+                heavy: Heavy | None = None) -> DataFrame:
     """Join ``rows`` with a per-key ``table`` on ``key``.
 
     With ``heavy`` (see heavy_keys) the rows of a heavy key are spread over several join
-    keys and the few table rows of that key are repeated, so no task gets a whole heavy key.
-    Works for inner, left, left_semi and left_anti. No broadcast hint: Spark broadcasts the
-    table only where its measured size allows.
+    keys, as many as that key's rows need, and the few table rows of that key are repeated as
+    often, so no task gets a whole heavy key. Works for inner, left, left_semi and left_anti. Only
+    the bounded list of heavy keys has a broadcast hint: Spark broadcasts the table only where
+    its measured size allows.
     """
     if not heavy:
         return rows.join(table, key, how)
-    salts = getattr(heavy, "salts", limits.salts)
-    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key] or [key]), F.lit(salts))
-    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
-    left = rows.withColumn("_salt", F.when(is_heavy, spread).otherwise(F.lit(0)).cast("int"))
-    copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = table.withColumn("_salt", F.explode(copies))
+    salts = F.broadcast(heavy.table(rows.sparkSession, key))
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key] or [key]), F.coalesce("_salts", F.lit(1)))
+    left = rows.join(salts, key, "left").select(*rows.columns, spread.alias("_salt"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))
+    right = table.join(salts, key, "left").select(*table.columns, copies.alias("_salt"))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 

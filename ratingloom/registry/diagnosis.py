@@ -95,6 +95,7 @@ def _r(expr):
     return f"round({expr} + 1e-10, 6)"
 
 
+# The published issue and advice texts, their limits and their order.
 _STATS = f"""WITH {INTER},
 ev AS (SELECT CAST(split_part(row_key, '|', 1) AS BIGINT) AS user_id, item_id, rating, ts, row_key FROM inter),
 {_overlap('ev')},

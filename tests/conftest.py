@@ -19,7 +19,7 @@ def spark():
 @pytest.fixture
 def tiny_limits(monkeypatch):
     """Make small data heavy, so that every skew path runs."""
-    for name, value in {"heavy_rows": 4, "salts": 3, "slices": 8, "segment_rows": 3}.items():
+    for name, value in {"heavy_rows": 4, "slices": 8, "segment_rows": 3}.items():
         monkeypatch.setattr(skew.limits, name, value)
     skew._known.clear()
     yield

@@ -43,6 +43,19 @@ def test_lookup_join_salted_equals_plain(spark, tiny_limits):
         assert sorted(map(tuple, salted.select("row_key").collect())) == plain
 
 
+def test_lookup_join_with_text_and_missing_keys(spark, tiny_limits):
+    rows = [(None if i % 5 == 0 else "hot" if i % 3 else f"k{i % 7}", i) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, i long")
+    table = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("other", 4), (None, 5)], "k string, v long")
+    heavy = skew.heavy_keys(df, "k")
+    assert heavy.salts["hot"] > 2 == min(heavy.salts.values())
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        plain = df.join(table, "k", how)
+        salted = skew.lookup_join(df, table, "k", how, heavy)
+        assert salted.columns == plain.columns
+        assert Counter(map(tuple, salted.collect())) == Counter(map(tuple, plain.collect()))
+
+
 def test_dense_index_is_the_sorted_position(spark, tiny_limits):
     got = {r["row_key"]: r["idx"] for r in skew.dense_index(frame(spark, ROWS), ["ts", "row_key"]).collect()}
     for i, r in enumerate(sorted(ROWS, key=lambda r: (r[3], r[4]))):
