@@ -82,6 +82,7 @@ def test_validate_samples_rejects_wrong_types(spark):
 
 
 def test_knn_with_means_golden_value(spark):
+    # The worked example of five users and two items.
     rows = [("A", 1, 1.0), ("A", 2, 2.0), ("B", 1, 2.0), ("B", 2, 4.0), ("C", 1, 2.5), ("C", 2, 4.0), ("D", 1, 4.5), ("D", 2, 5.0), ("E", 1, 3.0)]
     ratings = spark.createDataFrame(rows, "user_id string, item_id int, rating double")
     sim = common_rater_similarity(ratings)
