@@ -201,7 +201,8 @@ def split_stats(train: DataFrame, test: DataFrame, at_most: int = 5) -> DataFram
         cold("user_id").alias("cold_user_share"), cold("item_id").alias("cold_item_share"))
 
 
-def rating_error(predictions: DataFrame, truth: str = "rating", estimate: str = "estimate") -> DataFrame:
-    """One row: rmse, mae, n."""
+def rating_error(predictions: DataFrame, truth: str = "rating", estimate: str = "estimate",
+                 by: list[str] | None = None) -> DataFrame:
+    """rmse, mae, n: one row, or one per value of ``by``."""
     e = F.col(estimate) - F.col(truth)
-    return predictions.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count(F.lit(1)).alias("n"))
+    return predictions.groupBy(*(by or [])).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count(F.lit(1)).alias("n"))

@@ -106,19 +106,42 @@ def common_rater_statistics(ratings: DataFrame, user_based: bool = False, user:
     key, member = (item, user) if user_based else (user, item)
     rows = ratings.select(key, member, F.col(rating).alias("r"))
     pairs = matched_pairs(rows, key, member, heavy_keys(rows, key))
+    return pairs.groupBy(F.col(f"a_{member}").alias("a"), F.col(f"b_{member}").alias("b")).agg(*_common_sums())
+
+
+def fold_rater_statistics(folds: DataFrame, user_based: bool = False, n_folds: int = 3) -> DataFrame:
+    """(fold, a, b, support, ab, aa, bb, dd): common_rater_statistics of the rows outside each fold, in one pass.
+
+    ``folds`` is (user_id, item_id, rating, fold). A pair of rows counts for every fold that holds neither of them.
+    """
+    key, member = ("item_id", "user_id") if user_based else ("user_id", "item_id")
+    rows = folds.select(key, member, F.col("rating").alias("r"), F.col("fold").alias("f"))
+    pairs = matched_pairs(rows, key, member, heavy_keys(rows, key))
+    every = F.array(*[F.lit(f) for f in range(n_folds)])
+    outside = F.filter(every, lambda f: (f != F.col("a_f")) & (f != F.col("b_f")))
+    each = pairs.select(F.explode(outside).alias("fold"), F.col(f"a_{member}").alias("a"), F.col(f"b_{member}").alias("b"),
+                        "a_r", "b_r")
+    return each.groupBy("fold", "a", "b").agg(*_common_sums())
+
+
+def _common_sums() -> list:
     gap = F.col("a_r") - F.col("b_r")
-    return pairs.groupBy(F.col(f"a_{member}").alias("a"), F.col(f"b_{member}").alias("b")).agg(
-        F.count(F.lit(1)).alias("support"),
-        F.sum(F.col("a_r") * F.col("b_r")).alias("ab"), F.sum(F.col("a_r") * F.col("a_r")).alias("aa"),
-        F.sum(F.col("b_r") * F.col("b_r")).alias("bb"), F.sum(gap * gap).alias("dd"))
+    return [F.count(F.lit(1)).alias("support"),
+            F.sum(F.col("a_r") * F.col("b_r")).alias("ab"), F.sum(F.col("a_r") * F.col("a_r")).alias("aa"),
+            F.sum(F.col("b_r") * F.col("b_r")).alias("bb"), F.sum(gap * gap).alias("dd")]
+
+
+def similarity_from_common(stats: DataFrame, measure: str = "cosine", min_support: int = 1,
+                           keep: tuple[str, ...] = ()) -> DataFrame:
+    """Similarity of common_rater_statistics rows: cosine or 1 / (msd + 1); columns ``keep`` are carried along."""
+    return stats.select(*keep, "a", "b", "support", common_similarity(measure, min_support).alias("sim"))
 
 
-def similarity_from_common(stats: DataFrame, measure: str = "cosine", min_support: int = 1) -> DataFrame:
-    """Similarity of common_rater_statistics rows: cosine or 1 / (msd + 1)."""
+def common_similarity(measure: str = "cosine", min_support: int = 1) -> Column:
+    """The similarity of a row of common-rater sums, 0 below min_support."""
     if measure == "msd":
         value = F.lit(1.0) / (F.col("dd") / F.col("support") + 1)
     else:
         norm = F.sqrt(F.col("aa") * F.col("bb"))
         value = F.when(norm > 0, F.col("ab") / norm).otherwise(F.lit(0.0))
-    supported = F.when(F.col("support") >= min_support, value).otherwise(F.lit(0.0))
-    return stats.select("a", "b", "support", score(supported).alias("sim"))
+    return score(F.when(F.col("support") >= min_support, value).otherwise(F.lit(0.0)))
