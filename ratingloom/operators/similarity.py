@@ -112,16 +112,19 @@ def common_rater_statistics(ratings: DataFrame, user_based: bool = False, user:
 def fold_rater_statistics(folds: DataFrame, user_based: bool = False, n_folds: int = 3) -> DataFrame:
     """(fold, a, b, support, ab, aa, bb, dd): common_rater_statistics of the rows outside each fold, in one pass.
 
-    ``folds`` is (user_id, item_id, rating, fold). A pair of rows counts for every fold that holds neither of them.
+    ``folds`` is (user_id, item_id, rating, fold).
     """
     key, member = ("item_id", "user_id") if user_based else ("user_id", "item_id")
-    rows = folds.select(key, member, F.col("rating").alias("r"), F.col("fold").alias("f"))
-    pairs = matched_pairs(rows, key, member, heavy_keys(rows, key))
-    every = F.array(*[F.lit(f) for f in range(n_folds)])
-    outside = F.filter(every, lambda f: (f != F.col("a_f")) & (f != F.col("b_f")))
-    each = pairs.select(F.explode(outside).alias("fold"), F.col(f"a_{member}").alias("a"), F.col(f"b_{member}").alias("b"),
-                        "a_r", "b_r")
-    return each.groupBy("fold", "a", "b").agg(*_common_sums())
+    rows = training_copies(folds, n_folds).select(F.struct(key, "fold").alias("_k"), member, F.col("rating").alias("r"))
+    pairs = matched_pairs(rows, "_k", member, heavy_keys(rows, "_k"))
+    return pairs.groupBy(F.col("_k.fold").alias("fold"), F.col(f"a_{member}").alias("a"),
+                         F.col(f"b_{member}").alias("b")).agg(*_common_sums())
+
+
+def training_copies(folds: DataFrame, n_folds: int = 3) -> DataFrame:
+    """Every row once for each fold that it trains, that is all but its own; ``fold`` is the one that it trains."""
+    copies = folds.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))).filter(F.col("_f") != F.col("fold"))
+    return copies.withColumn("fold", F.col("_f")).drop("_f")
 
 
 def _common_sums() -> list:
