@@ -25,19 +25,32 @@ LENGTH, GRAM = 200, 64
 def suffix_array(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """(order of all suffixes by at least ``least`` bytes, ranks per doubling step).
 
-    ``ends``: for every place the end of its text; suffixes never read past it.
+    ``ends``: for every place the end of its text; suffixes never read past it, and one that ends is smaller than one
+    that goes on with a zero byte. A step only sorts suffixes that are still equal to another.
     """
     n = len(data)
     place = np.arange(n)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
-    for i in range(8):
+    for i in range(7):
         key = key << np.uint64(8) | np.where(place + i < ends, padded[i:n + i], np.uint64(0))
-    _, rank = np.unique(key, return_inverse=True)
-    steps, size = [(8, rank)], 8
-    while size < least:
-        nxt = np.where(place + size < ends, rank[np.minimum(place + size, n - 1)] + 1, 0)
-        _, rank = np.unique(rank.astype(np.int64) * (n + 1) + nxt, return_inverse=True)
+    key = key << np.uint64(8) | np.minimum(ends - place, 7).astype(np.uint64)
+    _, rank, count = np.unique(key, return_inverse=True, return_counts=True)
+    tied = np.flatnonzero(count[rank] > 1)
+    rank = (np.cumsum(count) - count)[rank]
+    steps, size = [(7, rank)], 7
+    while size < least and len(tied):
+        nxt = np.where(tied + size < ends[tied], rank[np.minimum(tied + size, n - 1)] + 1, 0)
+        key = rank[tied] * (n + 1) + nxt
+        order = np.argsort(key, kind="stable")
+        tied, key = tied[order], key[order]
+        before = rank[tied]
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        group = np.concatenate(([True], before[1:] != before[:-1]))
+        at = np.arange(len(tied))
+        rank = rank.copy()
+        rank[tied] = before + np.maximum.accumulate(at * fresh) - np.maximum.accumulate(at * group)
+        tied = tied[~(fresh & np.append(fresh[1:], True))]
         size *= 2
         steps.append((size, rank))
     return np.argsort(rank, kind="stable"), steps
@@ -55,7 +68,7 @@ def common_prefixes(order: np.ndarray, steps: list[tuple[int, np.ndarray]], data
         for _ in range(2 if size == steps[-1][0] else 1):
             x, y = np.minimum(a + got, last), np.minimum(b + got, last)
             got += size * ((got + size <= room) & (rank[x] == rank[y]))
-    for _ in range(7):
+    for _ in range(steps[0][0] - 1):
         x, y = np.minimum(a + got, last), np.minimum(b + got, last)
         got += (got < room) & (data[x] == data[y])
     return np.concatenate(([0], got))
@@ -101,7 +114,9 @@ def engine(texts: list[bytes], length: int = LENGTH):
     first = np.concatenate(([0], np.cumsum(sizes)))
     owner = np.repeat(np.arange(len(texts)), sizes)
     ends = first[owner + 1]
-    order, steps = suffix_array(data, ends, length)
+    # sorted to the end of the longest context: the tree needs whole common prefixes, else an interval that is left out
+    # for its equal left bytes may reach further than the one that stands for it
+    order, steps = suffix_array(data, ends, max(length, int(sizes.max(initial=0))))
     windows = np.arange(len(data)) + length <= ends
     order = order[windows[order]]
     prefix = common_prefixes(order, steps, data, ends)

@@ -107,3 +107,36 @@ def test_interval_tree_gives_all_maximal_repeats(seed):
 def test_automaton_finds_overlapping_passages():
     machine = phrase_automata.automaton([(1, 2, 1), (2, 1, 2)])
     assert [(end, nr) for end, nr in machine.iter((1, 2, 1, 2, 1))] == [(2, 0), (3, 1), (4, 0)]
+
+
+def edge_cases(seed):
+    """Contexts that are equal for longer than a power of two, and ones that end where others go on with zero bytes."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(97, 123, 336, dtype=np.uint8)
+    near = []
+    for at in (331, 258, 331, 290):
+        near.append(base.copy())
+        near[-1][at] = 65 + len(near)
+    cut = int(rng.integers(210, 280))
+    raw = rng.integers(97, 123, 300, dtype=np.uint8).tobytes()
+    zero = [raw[:cut], raw[:cut] + b"\0" * 3 + raw[cut:], raw[:cut] + b"\0" * 2 + raw[cut:], raw[:cut] + b"\0" * 3 + raw[cut:] + b"q"]
+    return [[t.tobytes() for t in near], zero]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_engine_covers_all_repeated_windows(seed):
+    for contexts in edge_cases(seed):
+        rows = [(None, t.decode("latin-1")) for t in contexts]
+        (owner, start, size), _ = suffix_repeats.engine(contexts, 200)
+        found = [[False] * len(t) for t in contexts]
+        for o, a, n in zip(owner, start, size):
+            found[o][a:a + n] = [True] * n
+        assert found == [gone for _, gone in brute(rows, 200, False)]
+
+
+def test_whole_rows_match_brute_force_at_full_length(spark):
+    rows = [(nr, t.decode()) for nr, t in enumerate(t for seed in range(6) for case in edge_cases(seed) for t in case)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_repeats.remove_repeats(docs).collect()}
+    assert found == {doc: (sum(gone), sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone)))
+                     for (doc, _), (_, gone) in zip(rows, brute(rows, 200, False))}
