@@ -98,7 +98,7 @@ QUERIES = {
     "split_shuffled": lambda s, d: splits.flag_shuffled(interactions(s, d)).select("user_id", "item_id", "row_key", "is_test"),
     "split_temporal": lambda s, d: (lambda tr, te: tr.withColumn("part", F.lit("train")).unionByName(te.withColumn("part", F.lit("test"))))(
         *splits.temporal_split(interactions(s, d))).select("user_id", "item_id", "row_key", "part"),
-    "split_kfold": lambda s, d: splits.contiguous_folds(interactions(s, d), ORDER).select("row_key", "fold"),
+    "split_kfold": lambda s, d: splits.contiguous_folds(interactions(s, d).select("ts", "row_key"), ORDER).select("row_key", "fold"),
     "split_allbut": lambda s, d: splits.all_but_n(interactions(s, d), 11, 20, 1200).select("row_key", "is_test"),
     "cv_folds": lambda s, d: splits.hashed_folds(interactions(s, d)).select("row_key", "fold"),
     "encode_sorted": lambda s, d: weights.encode_sorted(interactions(s, d), "item_id"),

@@ -25,8 +25,8 @@ QUERIES = {
     "user_items": lambda s, d: ts.items_of_users(interactions(s, d)),
     "item_users": lambda s, d: ts.users_of_items(interactions(s, d)),
     "user_batches": lambda s, d: ts.user_batches(interactions(s, d)),
-    "mini_batches": lambda s, d: ts.mini_batches(interactions(s, d)).select("row_key", "batch_id"),
-    "mini_batches_ordered": lambda s, d: ts.mini_batches(interactions(s, d), 500, False).select("row_key", "batch_id"),
+    "mini_batches": lambda s, d: ts.mini_batches(interactions(s, d).select("row_key")).select("row_key", "batch_id"),
+    "mini_batches_ordered": lambda s, d: ts.mini_batches(interactions(s, d).select("ts", "row_key"), 500, False).select("row_key", "batch_id"),
     "validate_samples": lambda s, d: ts.validate_samples(durable(_event_samples(s, d))),
 }
 

@@ -90,3 +90,39 @@ def test_matched_rows_cover_every_combination(spark, tiny_limits):
     right = frame(spark, ROWS).select("user_id", F.col("row_key").alias("r"))
     got = Counter((r["l"], r["r"]) for r in matched_rows(left, right, "user_id", "l", "r").collect())
     assert got == Counter((a[4], b[4]) for a in ROWS for b in ROWS if a[0] == b[0])
+
+
+def _no_search(*_):
+    raise AssertionError("a search in an array of cuts for every row")
+
+
+def test_positions_come_from_sorted_ranges(spark, tiny_limits, monkeypatch):
+    """No row looks up its slice: that took most of the time of every query with a global position."""
+    monkeypatch.setattr(skew, "_slice_of", _no_search)
+    rows = [(None if i % 7 == 0 else i % 5, f"k{i * 37 % 101:03d}", i) for i in range(101)]
+    df = spark.createDataFrame(rows, "a long, b string, c long").repartition(5, "c")
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = {r["c"]: r["i"] for r in skew.dense_index(df, ["a", "b"], "i").collect()}
+    assert [got[r[2]] for r in want] == list(range(101))
+    packed = df.select(F.struct("a", "b").alias("s"), "c")
+    assert {r["c"]: r["i"] for r in skew.dense_index(packed, ["s"], "i").collect()} == got
+    for n in (0, 1, 3, 50, 101, 400):
+        assert {r["c"] for r in skew.first_in_order(df, n, ["a", "b"]).collect()} == {r[2] for r in want[:n]}
+    assert skew.dense_index(df.limit(0), ["a", "b"], "i").count() == 0
+
+
+def test_first_rows_leave_most_rows_unsorted(spark, tiny_limits, monkeypatch):
+    """Only rows up to a cut behind the n-th row go on; without enough of them all do."""
+    seen = []
+    whole = skew.dense_index
+    monkeypatch.setattr(skew, "dense_index", lambda rows, *a: seen.append(rows.count()) or whole(rows, *a))
+    df = spark.range(3000).select(F.col("id").alias("k"), F.md5(F.col("id").cast("string")).alias("h"))
+    want = [r["k"] for r in sorted(df.collect(), key=lambda r: r["h"])][:9]
+    assert {r["k"] for r in skew.first_in_order(df, 9, ["h"]).collect()} == set(want) and 9 <= seen[0] < 2500
+    monkeypatch.setattr(skew, "_cuts", lambda rows, order: F.array(*[F.struct(F.lit("0").alias("h"))] * 16))
+    assert {r["k"] for r in skew.first_in_order(df, 9, ["h"]).collect()} == set(want) and seen[1] == 3000
+
+
+def test_lowest_by_key_with_a_large_bucket(spark, tiny_limits):
+    df = spark.range(300).select(F.concat(F.lit("abcd"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("h"), "id")
+    assert {r["id"] for r in skew.lowest_by_key(df, 40, "h", "id").collect()} == set(range(40))
