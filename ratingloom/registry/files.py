@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import shown
 from ..operators.weights import with_expertise
-from ..session import run_folder
+from ..session import durable, run_folder
 from ..sources import movielens, reviews
 from ..sources.tables import interactions, review_rows
 from .sql import INTER, REVIEWS
@@ -30,14 +30,14 @@ FIELDS4 = ("reviewerID", "asin", "overall", "unixReviewTime")
 
 
 def _lines(spark, d):
-    """Review lines: some truncated, some with a null rating, some blank, some lacking fields."""
+    """Review lines, written once as a file is: some truncated, some with a null rating, some blank, some lacking fields."""
     rows = interactions(spark, d)
     text = _record(rows)
     nulled = F.regexp_replace(text, '"overall":[0-9.]+', '"overall":null')
     value = (F.when(F.col("item_id") % 19 == 0, F.lit("  "))
              .when(F.col("user_id") % 7 == 0, F.substring(text, 1, 12))
              .when(F.col("user_id") % 17 == 0, nulled).otherwise(text))
-    return rows.select(value.alias("value"), "ts", "row_key")
+    return durable(rows.select(value.alias("value"), "ts", "row_key"))
 
 
 def _load_reviews(spark, d):
@@ -110,7 +110,7 @@ QUERIES = {
     "read_array_files": _read_array_files,
     "count_records": _count,
     "infer_fields": lambda s, d: reviews.infer_fields(_lines(s, d).filter(F.col("value").startswith("{") & F.col("value").endswith("}")), ORDER),
-    "row_chunks": lambda s, d: reviews.row_chunks(interactions(s, d), 1000, ORDER).select("row_key", "chunk_id"),
+    "row_chunks": lambda s, d: reviews.row_chunks(interactions(s, d).select("ts", "row_key"), 1000, ORDER).select("row_key", "chunk_id"),
     "split_lines": _split_lines,
     "load_ratings": _load_ratings,
 }
