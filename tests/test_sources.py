@@ -84,3 +84,22 @@ def test_movielens_layout(spark, tmp_path):
     assert movielens.load_ratings(spark, ratings).filter("rating = 5").first()["item_id"] == 6
     assert movielens.load_users(spark, users).first()["zip"] == "85711"
     assert movielens.load_genres(spark, genres).count() == 2
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_derived_lines_are_built_once(spark):
+    """The text of the lines is not made again by every pass over them."""
+    from ratingloom.registry import files
+    assert "to_json" not in _plan(files._lines(spark, "/root/testdata/sf0.001"))
+
+
+def test_sampled_users_need_one_parse(spark):
+    """Choosing users reads their rows several times, but parses the lines once."""
+    rows = [(f'{{"reviewerID":"u{i % 4}","asin":"i{i}","overall":{i % 5}}}', i) for i in range(20)]
+    out = reviews.parse_wide(spark.createDataFrame([*rows, ("{broken", 20)], "value string, seq long"), 2)
+    assert "json_object_keys" not in _plan(out)
+    assert sorted((r.user_id, r.item_id, r.rating, r.seq) for r in out.collect()) == sorted(
+        (f"u{i % 4}", f"i{i}", float(i % 5), i) for i in range(20) if i % 4 < 2)
