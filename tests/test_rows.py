@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,25 @@ def test_single_rating_items_use_the_defaults(spark):
     assert meta[1]["rating_steady"] == 0.5 and meta[1]["help_steady"] == 0.5
     flat = {r["item_id"]: r for r in scaled(metadata_features(item_aggregates(rows))).collect()}
     assert flat[1]["expertise"] == 0.0 and flat[2]["expertise"] == 0.0
+
+
+@pytest.mark.parametrize("preserving", [True, False])
+def test_core_rounds_see_ids_only(spark, tiny_limits, monkeypatch, preserving):
+    """Whole rows are written once, before the rounds, and the result is that of rounds over whole rows."""
+    wide, cut = [], cleaning.durable
+    monkeypatch.setattr(cleaning, "durable", lambda df: wide.append("rating" in df.columns) or cut(df))
+    rows = interactions(seed=4, users=30, items=25, rows=260, hot=0.1)
+    rest = rows
+    if preserving:
+        got = cleaning.preserving_core(frame(spark, rows), 7, 9, preserve=0.2)
+    else:
+        got = cleaning.adaptive_core(frame(spark, rows), 8, p=0.5)
+    for _ in range(3):
+        sizes = [Counter(r[i] for r in rest) for i in (0, 1)]
+        least = [max(m, int(np.percentile(list(s.values()), 5))) if preserving else max(1, min(8, np.percentile(list(s.values()), 50)))
+                 for s, m in zip(sizes, (7, 9))]
+        rest = [r for r in rest if all(s[r[i]] >= n for i, (s, n) in enumerate(zip(sizes, least)))]
+        if preserving and len(rest) < int(0.2 * len(rows)):
+            break
+    assert sorted(map(tuple, got.collect())) == sorted(rest) and 0 < len(rest) < len(rows)
+    assert sum(wide) == 1
