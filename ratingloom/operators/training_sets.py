@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import key_to_long, seeded_key
@@ -14,7 +14,8 @@ ORDER = ("ts", "row_key")
 
 
 def encoded(df: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """Rows with user_idx and item_idx, both in order of first appearance."""
+    """Rows with user_idx and item_idx, both in order of first appearance. Five passes read the rows, so they are written once."""
+    df = durable(df)
     users = encode_first_seen(df, "user_id", list(order), "user_idx")
     items = encode_first_seen(df, "item_id", list(order), "item_idx")
     rows = lookup_join(df, users, "user_id", "inner", heavy_keys(df, "user_id"))
@@ -39,21 +40,33 @@ def negatives(rows: DataFrame, ratio: int = 4, seed: int = 42, row_key: str = "r
     """
     n_items = rows.select(F.count_distinct("item_idx")).scalar()
     heavy = heavy_keys(rows, "user_idx")
-    seen = rows.select("user_idx", "item_idx").distinct()
-    gaps = number_in_group(seen, "user_idx", ["item_idx"], "_rank", None, heavy).select(
-        "user_idx", (F.col("item_idx") - F.col("_rank") + 1).alias("value"), F.lit(1).cast("bigint").alias("is_seen"),
-        F.lit(0).alias("draw"), F.lit("").alias(row_key), F.lit(None).cast("bigint").alias("ts"))
-    held = seen.groupBy("user_idx").agg(F.count(F.lit(1)).alias("_h"))
-    wanted = lookup_join(rows.select(row_key, "user_idx", "ts"), held, "user_idx", "inner", heavy)
-    wanted = wanted.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(ratio))))
+    draws = F.sequence(F.lit(1), F.lit(ratio))
+    if heavy:
+        seen = rows.select("user_idx", "item_idx").distinct()
+        gaps = number_in_group(seen, "user_idx", ["item_idx"], "_rank", None, heavy).select(
+            "user_idx", (F.col("item_idx") - F.col("_rank") + 1).alias("value"), F.lit("").alias(row_key),
+            F.lit(None).cast("bigint").alias("ts"), F.lit(None).cast("bigint").alias("_h"), F.lit(0).alias("draw"))
+        held = seen.groupBy("user_idx").agg(F.count(F.lit(1)).alias("_h"))
+        wanted = lookup_join(rows.select("user_idx", F.lit(None).cast("bigint").alias("value"), row_key, "ts"), held, "user_idx", "inner", heavy)
+        both = gaps.unionByName(wanted.withColumn("draw", F.explode(draws)))
+    else:
+        # a positive is shuffled once, to its user; a gap (draw 0) and the draws are made of it there
+        of_user = Window.partitionBy("user_idx")
+        ranked = rows.select("user_idx", "item_idx", row_key, "ts").select(
+            "*", F.dense_rank().over(of_user.orderBy("item_idx")).cast("bigint").alias("_rank"),
+            F.lag("item_idx").over(of_user.orderBy("item_idx")).alias("_before")).withColumn("_h", F.max("_rank").over(of_user))
+        again = F.coalesce(F.col("_before") == F.col("item_idx"), F.lit(False))
+        both = ranked.select("user_idx", (F.col("item_idx") - F.col("_rank") + 1).alias("value"), row_key, "ts", "_h",
+                             F.explode(F.when(again, draws).otherwise(F.sequence(F.lit(0), F.lit(ratio)))).alias("draw"))
+    is_gap = F.col("draw") == 0
     key = key_to_long(seeded_key(seed, row_key, "draw"))
     free = n_items - F.col("_h")
-    draws = wanted.select(
-        "user_idx", F.when(free > 0, F.pmod(key, free)).otherwise(F.pmod(key, n_items)).alias("value"),
-        F.when(free > 0, F.lit(0)).otherwise(F.lit(-1)).cast("bigint").alias("is_seen"), "draw", row_key,
-        F.coalesce(F.col("ts"), F.lit(0)).alias("ts"))
+    mixed = both.select(
+        "user_idx", F.when(is_gap, F.col("value")).when(free > 0, F.pmod(key, free)).otherwise(F.pmod(key, n_items)).alias("value"),
+        F.when(is_gap, F.lit(1)).when(free > 0, F.lit(0)).otherwise(F.lit(-1)).cast("bigint").alias("is_seen"), "draw", row_key,
+        F.coalesce("ts", F.lit(0)).alias("ts"))
     # seen gaps sort before draws of the same value; is_seen = -1 marks users without unseen items
-    mixed = gaps.unionByName(draws).withColumn("_step", F.greatest("is_seen", F.lit(0))).withColumn("_kind", -F.col("_step"))
+    mixed = mixed.withColumn("_step", F.greatest("is_seen", F.lit(0))).withColumn("_kind", -F.col("_step"))
     placed = running_sum(mixed, "user_idx", ["value", "_kind", row_key, "draw"], "_step", "_shift", heavy)
     return placed.filter("is_seen <= 0").select(
         row_key, "draw", "user_idx",

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from data import frame, interactions
+from ratingloom.functions import skew
 from ratingloom.operators import cleaning, diagnostics, rating_models, splits, training_sets
 from ratingloom.operators.item_features import item_aggregates, metadata_features, scaled
 from ratingloom.operators.similarity import common_rater_similarity
@@ -142,3 +143,19 @@ def test_core_rounds_see_ids_only(spark, tiny_limits, monkeypatch, preserving):
     got = got.select("user_id", "item_id", "rating", "ts", "row_key").collect()
     assert sorted(map(tuple, got)) == sorted(rest) and 0 < len(rest) < len(rows)
     assert sum(wide) == 1
+
+
+def test_draws_are_made_behind_the_shuffle(spark):
+    """Positives go to their user once; without that each of their draws is shuffled. Results equal the heavy path's."""
+    rows = training_sets.durable(training_sets.encoded(frame(spark, ROWS)))
+    out = training_sets.negatives(rows, 4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(user_idx") == 1
+    plain = sorted(map(tuple, out.collect()))
+    skew._known.clear()
+    before, skew.limits.heavy_rows = skew.limits.heavy_rows, 4
+    try:
+        assert sorted(map(tuple, training_sets.negatives(rows, 4).collect())) == plain and len(plain) == 4 * len(ROWS)
+    finally:
+        skew.limits.heavy_rows = before
+        skew._known.clear()
