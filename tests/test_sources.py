@@ -103,3 +103,10 @@ def test_sampled_users_need_one_parse(spark):
     assert "json_object_keys" not in _plan(out)
     assert sorted((r.user_id, r.item_id, r.rating, r.seq) for r in out.collect()) == sorted(
         (f"u{i % 4}", f"i{i}", float(i % 5), i) for i in range(20) if i % 4 < 2)
+
+
+def test_tokens_are_made_once(spark):
+    """The lemma table and the join read written tokens, not the texts."""
+    from ratingloom.registry import texts
+    found = texts._lemmas(spark, "/root/testdata/sf0.001").inputFiles()
+    assert found and not any("documents.parquet" in f for f in found)
